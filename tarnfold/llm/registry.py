@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import url_reputation
+from . import fingerprints, sharding, url_reputation
 
 
 def queries() -> dict:
-    return {"op1_host_reputation": url_reputation.op1_host_reputation}
+    return {
+        "op1_host_reputation": url_reputation.op1_host_reputation,
+        "op2_bottom_k": fingerprints.op2_bottom_k,
+        "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
+    }
 
 
 def oracle_sql() -> dict:
