@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import fingerprints, sharding, url_reputation
+from . import divergence, fingerprints, sharding, url_reputation
 
 
 def queries() -> dict:
     return {
         "op1_host_reputation": url_reputation.op1_host_reputation,
         "op2_bottom_k": fingerprints.op2_bottom_k,
+        "op6_divergence": divergence.op6_divergence,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_host_reputation": url_reputation.SQL}
+    return {"op1_host_reputation": url_reputation.SQL, "op6_divergence": divergence.SQL}
