@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, fingerprints, sharding, url_reputation
+from . import bpe, divergence, fingerprints, ppm, sharding, url_reputation
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_host_reputation": url_reputation.op1_host_reputation,
         "op2_bottom_k": fingerprints.op2_bottom_k,
         "op6_divergence": divergence.op6_divergence,
+        "op4_trie_bpe": bpe.op4_trie_bpe,
+        "op10_ppm": ppm.op10_ppm,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
