@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, divergence, fingerprints, ppm, sharding, url_reputation
+from . import bpe, divergence, fingerprints, jaccard_join, ppm, sharding, url_reputation
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_divergence": divergence.op6_divergence,
         "op4_trie_bpe": bpe.op4_trie_bpe,
         "op10_ppm": ppm.op10_ppm,
+        "op8_token_group_matrix": jaccard_join.op8_token_group_matrix,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
