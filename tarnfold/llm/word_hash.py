@@ -17,6 +17,9 @@ _LOWER[65:91] += 32
 _VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER] * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Also ASCII marks end a word here.
+_MARKS = _SPACE.copy()
+_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _P = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -36,9 +39,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word of data, which must begin and end between words."""
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     up, down = _power_tables(len(data) + 1)
@@ -59,14 +62,18 @@ def _pieces(data: np.ndarray):
     yield data[at:]
 
 
-def batches(texts):
-    """texts: bytes each -> for packs of about CHUNK bytes: word hashes, and where each text's begin (and the last ends)."""
+def batches(texts, letters_only: bool = False):
+    """texts: bytes each -> for packs of about CHUNK bytes: word hashes, and where each text's begin (and the last ends).
+
+    letters_only: words are runs of bytes other than ASCII white space and marks.
+    """
     pack, size = [], 0
+    between = _MARKS if letters_only else _SPACE
 
     def done():
         data = np.frombuffer(b"\n".join(pack) + b"\n", np.uint8)
         first = np.cumsum([0, *(len(x) + 1 for x in pack)])
-        h, starts = _hashes(data)
+        h, starts = _hashes(data, between)
         return h, np.searchsorted(starts, first)
 
     for x in texts:
@@ -74,7 +81,7 @@ def batches(texts):
             if pack:
                 yield done()
                 pack, size = [], 0
-            h = np.concatenate([_hashes(p)[0] for p in _pieces(np.frombuffer(x, np.uint8))])
+            h = np.concatenate([_hashes(p, between)[0] for p in _pieces(np.frombuffer(x, np.uint8))])
             yield h, np.array([0, len(h)])
             continue
         if size + len(x) > CHUNK:
