@@ -195,6 +195,7 @@ TEXTS = 256
 
 def encode(docs: DataFrame, path: str, keep: list[str], full: bool = False) -> DataFrame:
     """The columns in `keep` with n_tokens, ids_sha256, decoded_sha256 and, if full, ids (array<int>)."""
+    common.ship(docs.sparkSession)
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     schema = schema.add("ids", "array<int>") if full else schema
 

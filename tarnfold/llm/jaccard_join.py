@@ -260,6 +260,7 @@ def links_between_blocks(rooms: DataFrame, sets: DataFrame, found: DataFrame, pe
 
 def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id for each row."""
+    common.ship(docs.sparkSession)
     facts = common.stored(described(docs, words, percent), "op8-sets")
     classes = facts.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     classes = common.stored(classes, "op8-classes")

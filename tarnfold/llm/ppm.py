@@ -176,6 +176,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in `keep` of each document, with lang_pred, score and bits a byte (null: not scored)."""
+    common.ship(docs.sparkSession)
     schema = docs.select(*keep).schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("bits_per_byte", "double")):
         schema = schema.add(name, kind)
