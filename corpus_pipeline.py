@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = common.stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-twice")
     if twice.isEmpty():
         return kept
-    once = common.by_ids(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = common.by_ids(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return common.by_ids(kept, twice, "doc_id", "left_anti").unionByName(once.select(*docs.columns))
 
 
