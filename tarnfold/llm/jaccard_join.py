@@ -127,13 +127,22 @@ def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, need int, tokens array<long>")
 
 
-def shingle_table(docs: DataFrame, words: int) -> DataFrame:
+def placed_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """places (doc, ...) with the set of each doc, read again from its text: one shuffle of sets, to where they meet."""
+    rest = [c for c in places.columns if c != "doc"]
+    spots = common.stored(places.groupBy("doc").agg(F.collect_list(F.struct(*rest)).alias("spots")), "op8-spots")
+    small = places.count() <= common.BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(spots) if small else spots, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "spots")
+
     def run(batches):
-        for pack in packed((x for x in sets_of(batches, words)), 500):
-            ids, sets, _ = zip(*pack, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "shingles"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [s.tobytes() for _, s, _ in sets_of([part], words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), part.column(2)], names=["doc", "shingles", "spots"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, shingles binary")
+    schema = f"doc long, shingles binary, spots {spots.schema['spots'].dataType.simpleString()}"
+    return texts.mapInArrow(run, schema).select("doc", "shingles", F.inline("spots"))
 
 
 def _loaded(table: pa.Table):
@@ -241,7 +250,7 @@ def rooms_in_blocks(opened: DataFrame) -> DataFrame:
     return placed.unionByName(firsts).distinct()
 
 
-def links_between_blocks(rooms: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
+def links_between_blocks(rooms: DataFrame, docs: DataFrame, words: int, found: DataFrame, percent: int) -> DataFrame | None:
     """Links of documents outside the largest component of a split room to documents in all its blocks."""
     split = rooms.where("blocks > 1").join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     per_part = split.groupBy("room", "component").agg(F.count("*").alias("docs"))
@@ -254,7 +263,7 @@ def links_between_blocks(rooms: DataFrame, sets: DataFrame, found: DataFrame, pe
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ask = asking.select("room", F.col("block").alias("from"), all_blocks.alias("block"), "doc", "component", F.lit(True).alias("asks"))
     targets = open_rooms.join(asking.select("room", F.col("block").alias("from")).distinct(), "room").select("room", "from", "block", "doc", "component", F.lit(False).alias("asks"))
-    both = ask.unionByName(targets).join(sets, "doc")
+    both = placed_sets(docs, common.stored(ask.unionByName(targets), "op8-asked"), words)
     return both.groupBy("room", "from", "block").applyInArrow(lambda t: _pairs_table(cell_links(t, percent)), "doc long, root long")
 
 
@@ -274,12 +283,10 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     shared = common.stored(shared, "op8-shared")
 
     rooms = common.stored(rooms_in_blocks(common.stored(opened_groups(shared), "op8-opened")), "op8-rooms")
-    ids = common.stored(rooms.select(F.col("doc").alias("doc_id")).distinct(), "op8-ids")
-    sets = common.stored(shingle_table(common.by_ids(docs.select("doc_id", "text"), ids, "doc_id", "left_semi"), words), "op8-shingles")
-    edges = rooms.join(sets, "doc").select("room", "block", "doc", "shingles").groupBy("room", "block")
+    edges = placed_sets(docs, rooms.select("doc", "room", "block"), words).groupBy("room", "block")
     edges = common.stored(edges.applyInArrow(lambda t: _pairs_table(room_components(t, percent)), "doc long, root long").distinct(), "op8-edges")
     found = common.stored(components.of_stars(edges), "op8-components")
-    more = links_between_blocks(rooms, sets, found, percent)
+    more = links_between_blocks(rooms, docs, words, found, percent)
     if more is not None:
         more = common.stored(more.distinct(), "op8-more")
         turned = more.select(F.greatest("doc", "root").alias("doc"), F.least("doc", "root").alias("root"))
