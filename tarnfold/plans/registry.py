@@ -1,11 +1,497 @@
-"""The queries of the engine and their SQL."""
+"""The queries of the engine over the shared tables, each with SQL where SQL can express it.
+
+Stand-ins: `documents` are the corpus, `benchmark` passages the questions, a document that
+contains a passage is its gold answer (grade 2, or 1 if its quality label is 0), `embeddings`
+are stored vectors. Searches take every row whose id is divisible by 20 as queries.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as X
+from ..functions import vectors
+from ..operators import ann, chunking, evaluation, fusion, generation, parsing, retrieval
+from ..sources import collection, files
+from . import sql
+
+QUERIES, SQL = {}, sql.SQL
+RETRIEVERS = ("random", "grep", "bm25", "vector", "hybrid_weighted", "hybrid_rrf", "vector_rerank", "hybrid_rrf_rerank", "vector_mmr", "vector_cap")
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for k, v in SQL.items() if k in QUERIES}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- vectors -----------------------------------------------------------------------------
+
+
+def stored_vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def asked_vectors(spark, d) -> DataFrame:
+    return stored_vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("qid"), "vector", "label")
+
+
+def others(hits: DataFrame, k: int) -> DataFrame:
+    """Without the query itself, ranked anew."""
+    order = Window.partitionBy("qid").orderBy("rank")
+    return hits.where("id <> qid").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def neighbours(spark, d, k: int, match: str | None = None) -> DataFrame:
+    return others(retrieval.exact_knn(stored_vectors(spark, d), asked_vectors(spark, d), k + 1, match), k)
+
+
+def shown(hits: DataFrame) -> DataFrame:
+    return hits.select("qid", F.col("id").alias("item"), "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def knn_exact_topk(spark, d):
+    return shown(neighbours(spark, d, 5))
+
+
+@query
+def knn_filtered_label(spark, d):
+    return shown(neighbours(spark, d, 5, "label"))
+
+
+@query
+def knn_per_label_cap(spark, d):
+    labels = stored_vectors(spark, d).select("id", "label")
+    return shown(retrieval.per_key_cap(neighbours(spark, d, 20).join(labels, "id"), "label", 2, 5))
+
+
+def vector_hits(spark, d, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names, hits, labels): a stored vector of the query's label has grade 1."""
+    hits = neighbours(spark, d, k).withColumn("retriever", F.lit("vector"))
+    asked = asked_vectors(spark, d).select("qid", "label")
+    labels = stored_vectors(spark, d).select("id", "label").join(F.broadcast(asked), "label").where("id <> qid").select("qid", "id", F.lit(1).alias("grade"))
+    return asked.select(F.lit("vector").alias("retriever"), "qid"), hits, labels
+
+
+def six(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query
+def knn_eval_metrics(spark, d):
+    scores = evaluation.query_scores(*vector_hits(spark, d, 10), 5)
+    return six(scores, "recall", "precision", "rr", "ndcg", "top_score").drop("retriever")
+
+
+@query
+def knn_metrics_by_label(spark, d):
+    scores = evaluation.query_scores(*vector_hits(spark, d, 10), 5).join(asked_vectors(spark, d).select("qid", "label"), "qid")
+    return scores.rollup("label").agg(F.count("*").alias("queries"), F.round(F.avg("hit_1"), 6).alias("hit_1"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
+@query
+def knn_k_sweep(spark, d):
+    names, hits, labels = vector_hits(spark, d, 20)
+    hits = hits.persist()
+    each = [evaluation.summary(evaluation.query_scores(names, hits, labels, k), 0.3).withColumn("k", F.lit(k)) for k in (1, 3, 5, 10, 20)]
+    return reduce(DataFrame.unionByName, each).select("k", "queries", "hit_k", "recall", "mrr", "ndcg")
+
+
+@query
+def knn_threshold_sweep(spark, d):
+    names, hits, labels = vector_hits(spark, d, 5)
+    cuts = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)], "threshold double")
+    found = evaluation.graded(hits, labels).crossJoin(F.broadcast(cuts)).where(F.round("score", 8) >= F.col("threshold"))
+    per = found.groupBy("threshold", "qid").agg(F.max((F.col("grade") > 0).cast("int")).alias("hit"), F.count("*").alias("kept"))
+    every = names.select("qid").crossJoin(F.broadcast(cuts)).join(per, ["threshold", "qid"], "left")
+    return every.groupBy("threshold").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_kept"), F.round(F.avg(F.col("kept").isNull().cast("int")), 6).alias("abstained"), F.sum(F.coalesce("kept", F.lit(0))).alias("hits_kept"))
+
+
+@query
+def knn_score_distribution(spark, d):
+    _, hits, labels = vector_hits(spark, d, 5)
+    values = F.sort_array(F.collect_list(F.round("score", 6)))  # hits of a stated query set
+    per = evaluation.graded(hits, labels).groupBy((F.col("grade") > 0).alias("relevant")).agg(values.alias("v"))
+    at = lambda f: evaluation.at_fraction(F.col("v"), f)
+    return per.select("relevant", F.size("v").cast("long").alias("n"), F.col("v")[0].alias("least"), at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), F.element_at("v", -1).alias("most"))
+
+
+@query
+def mmr_topk(spark, d):
+    hits = neighbours(spark, d, 20).join(stored_vectors(spark, d).select("id", "vector"), "id")
+    return shown(retrieval.mmr(hits, 5, 0.5))
+
+
+@query
+def ann_ivf_topk(spark, d):
+    return shown(others(ann.ivf(stored_vectors(spark, d), asked_vectors(spark, d), 11), 10))
+
+
+@query
+def ann_recall(spark, d):
+    found = others(ann.ivf(stored_vectors(spark, d), asked_vectors(spark, d), 11), 10)
+    return ann.recall(found, neighbours(spark, d, 10), 10)
+
+
+@query
+def int8_topk(spark, d):
+    return shown(others(ann.int8_topk(stored_vectors(spark, d), asked_vectors(spark, d), 11), 10))
+
+
+# -- lexical and hybrid retrieval --------------------------------------------------------
+
+
+def corpus(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+
+
+def questions(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def vector_search(spark, d, k: int) -> DataFrame:
+    base = vectors.hash_embed(corpus(spark, d), "id", "text")
+    asked = vectors.hash_embed(questions(spark, d), "qid", "query")
+    return retrieval.exact_knn(base, asked, k)
+
+
+@query
+def tokenize_postings(spark, d):
+    terms = retrieval.postings(corpus(spark, d), "id", "text")
+    return terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"), F.max("tf").alias("most"))
+
+
+@query
+def term_idf(spark, d):
+    docs = corpus(spark, d)
+    weights = retrieval.term_weights(retrieval.postings(docs, "id", "text"), "id", docs.agg(F.count("*").alias("n")))
+    return weights.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def token_stats_by_lang(spark, d):
+    return chunking.token_stats(corpus(spark, d).select("lang", X.token_estimate(F.col("text")).alias("n")), "lang")
+
+
+@query
+def bm25_topk(spark, d):
+    return shown(retrieval.bm25(corpus(spark, d), questions(spark, d), 5))
+
+
+@query
+def grep_topk(spark, d):
+    return shown(retrieval.grep(corpus(spark, d), questions(spark, d), 5))
+
+
+@query
+def random_topk(spark, d):
+    return shown(retrieval.random_ranking(corpus(spark, d), questions(spark, d), 5))
+
+
+@query
+def hash_embed_cells(spark, d):
+    cells = vectors.hash_cells(corpus(spark, d), "id", "text", 64)
+    return cells.groupBy("dim").agg(F.count("*").alias("cells"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"))
+
+
+@query
+def hash_embed_topk(spark, d):
+    return shown(vector_search(spark, d, 5))
+
+
+@query
+def cache_keys(spark, d):
+    return corpus(spark, d).select("id", X.cache_key("hash-64", F.col("text")).alias("key"))
+
+
+@query
+def cache_misses_dedup(spark, d):
+    """Documents with an even id are in the cache; of the others each distinct text is encoded once."""
+    keyed = corpus(spark, d).select("id", "lang", X.cache_key("hash-64", F.col("text")).alias("key"))
+    cached = keyed.where("id % 2 = 0").select("key").distinct().withColumn("hit", F.lit(1))
+    joined = keyed.join(cached, "key", "left")
+    return joined.groupBy("lang").agg(F.count("*").alias("texts"), F.count("hit").alias("hits"), F.countDistinct(F.when(F.col("hit").isNull(), F.col("key"))).alias("encoded"))
+
+
+@query
+def fuse_weighted(spark, d):
+    return shown(fusion.weighted(vector_search(spark, d, 20), retrieval.bm25(corpus(spark, d), questions(spark, d), 20), 0.7, 5))
+
+
+@query
+def fuse_rrf(spark, d):
+    return shown(fusion.reciprocal_rank([vector_search(spark, d, 20), retrieval.bm25(corpus(spark, d), questions(spark, d), 20)], 5))
+
+
+@query
+def fuse_weight_sweep(spark, d):
+    scored = fusion.weighted_scores(vector_search(spark, d, 20), retrieval.bm25(corpus(spark, d), questions(spark, d), 20))
+    each = scored.withColumn("weight", F.explode(F.array(*map(F.lit, (0.3, 0.5, 0.7, 0.9, 1.0))))).withColumn("score", F.col("weight") * F.col("v") + (1 - F.col("weight")) * F.col("w"))
+    order = Window.partitionBy("weight", "qid").orderBy(F.desc(F.round("score", 8)), "id")
+    top = each.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    return top.select("weight", "qid", F.col("id").alias("item"), "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def rerank_topk(spark, d):
+    return shown(retrieval.rerank(vector_search(spark, d, 20), questions(spark, d), corpus(spark, d), 5))
+
+
+@query
+def rrf_rerank_topk(spark, d):
+    both = fusion.reciprocal_rank([vector_search(spark, d, 20), retrieval.bm25(corpus(spark, d), questions(spark, d), 20)], 20)
+    return shown(retrieval.rerank(both, questions(spark, d), corpus(spark, d), 5))
+
+
+def gold(spark, d) -> DataFrame:
+    """(qid, id, grade): documents that contain the passage. The passages are a stated set and broadcast."""
+    quality = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
+    asked = F.broadcast(questions(spark, d))
+    found = corpus(spark, d).join(asked, F.contains(F.col("text"), F.col("query"))).select("qid", "id")
+    return found.join(quality, "id", "left").select("qid", "id", F.when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
+
+
+@query
+def qrels_from_passages(spark, d):
+    return gold(spark, d).select("qid", F.col("id").alias("item"), "grade")
+
+
+@query
+def qrels_integrity(spark, d):
+    """Unique ids, grades in {1, 2}, labels that resolve, unanswerable questions."""
+    asked, labels = questions(spark, d), gold(spark, d)
+    lost = labels.join(corpus(spark, d).select("id"), "id", "left_anti").agg(F.count("*").alias("unresolved"))
+    per = asked.agg(F.count("*").alias("questions"), F.countDistinct("qid").alias("distinct_ids"))
+    bad = labels.agg(F.count("*").alias("labels"), F.count(F.when(~F.col("grade").isin(1, 2), 1)).alias("bad_grades"))
+    none = asked.join(labels.select("qid"), "qid", "left_anti").agg(F.count("*").alias("unanswerable"))
+    return per.crossJoin(bad).crossJoin(lost).crossJoin(none)
+
+
+def arms(spark, d, wanted=RETRIEVERS, k: int = 5, depth: int = 20) -> dict[str, DataFrame]:
+    """Hits of each named retriever; the searches that several share are kept."""
+    unknown = set(wanted) - set(RETRIEVERS)
+    if unknown:
+        raise ValueError(f"unknown retrievers {sorted(unknown)}")
+    docs, asked = corpus(spark, d), questions(spark, d)
+    wide, words = vector_search(spark, d, depth).persist(), retrieval.bm25(docs, asked, depth).persist()
+    cut = lambda hits: hits.where(F.col("rank") <= k)
+    made = {
+        "random": lambda: retrieval.random_ranking(docs, asked, k),
+        "grep": lambda: retrieval.grep(docs, asked, k),
+        "bm25": lambda: cut(words),
+        "vector": lambda: cut(wide),
+        "hybrid_weighted": lambda: fusion.weighted(wide, words, 0.7, k),
+        "hybrid_rrf": lambda: fusion.reciprocal_rank([wide, words], k),
+        "vector_rerank": lambda: retrieval.rerank(wide, asked, docs, k),
+        "hybrid_rrf_rerank": lambda: retrieval.rerank(fusion.reciprocal_rank([wide, words], depth), asked, docs, k),
+        "vector_mmr": lambda: retrieval.mmr(wide.join(vectors.hash_embed(docs, "id", "text"), "id"), k, 0.5),
+        "vector_cap": lambda: retrieval.per_key_cap(wide.join(docs.select("id", "source"), "id"), "source", 2, k),
+    }
+    return {name: made[name]().select("qid", "id", "rank", "score") for name in wanted}
+
+
+def compared(spark, d, wanted) -> DataFrame:
+    hits = reduce(DataFrame.unionByName, [h.withColumn("retriever", F.lit(n)) for n, h in arms(spark, d, wanted).items()])
+    names = questions(spark, d).select("qid").crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in wanted], "retriever string")))
+    return evaluation.summary(evaluation.query_scores(names, hits, gold(spark, d).persist(), 5), 0.3, "retriever")
+
+
+@query
+def retriever_comparison(spark, d):
+    return compared(spark, d, [r for r in RETRIEVERS if r != "vector_mmr"])
+
+
+@query
+def retriever_comparison_mmr(spark, d):
+    return compared(spark, d, ["vector_mmr"])
+
+
+# -- chunks ------------------------------------------------------------------------------
+
+
+def text_files(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/doc_"), F.col("doc_id"), F.lit(".txt")).alias("file_path"), F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def windows(spark, d) -> DataFrame:
+    return chunking.with_ids(chunking.windows(text_files(spark, d), 4, 1))
+
+
+@query
+def chunk_fixed(spark, d):
+    return windows(spark, d).select("file_path", "symbol_name", "start_line", "end_line", F.md5("text").alias("text_md5"))
+
+
+@query
+def chunk_ids(spark, d):
+    return windows(spark, d).select("point_id", "point_key", "citation", "directory")
+
+
+@query
+def chunk_content_hash(spark, d):
+    return windows(spark, d).select("point_key", "content_hash")
+
+
+@query
+def chunk_token_stats(spark, d):
+    counts = windows(spark, d).select("strategy", X.token_estimate(F.col("embed_text")).alias("n"))
+    return chunking.token_stats(counts, "strategy")
+
+
+@query
+def split_identifiers(spark, d):
+    name = F.concat(F.col("p_brand"), F.lit("_"), F.col("p_name"), F.lit("HTTPServer2x"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.identifier_parts(name), "|").alias("parts"))
+
+
+@query
+def slugs(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.slug(F.concat(F.lit("--"), F.col("p_name"), F.lit(" / "), F.col("p_type"), F.lit("!"))).alias("slug"))
+
+
+def sources(spark, d) -> DataFrame:
+    """Python and Markdown files made from documents: a class with two methods, a function; three headings and a fence."""
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "[^A-Za-z ]", "").alias("s"))
+    n = F.col("doc_id").cast("string")
+    code = F.concat(
+        F.lit('"""'), F.col("s"), F.lit('"""\nimport os as o, re\nfrom .base import Thing as T\n\n\nclass Box'), n,
+        F.lit(':\n    """A box.\n\n    More."""\n\n    @property\n    def sizeOf(self):\n        def inner():\n            return 1\n        return inner()\n\n    async def openLid(self):\n        return None\n\n\ndef run_'), n, F.lit("(x):\n    return x\n"),
+    )
+    marks = F.concat(F.lit("intro\n# Part "), n, F.lit("\ntext\n```\n# not a heading\n```\n### Deep\nmore\n### Deeper\n"), F.col("s"), F.lit("\n## End ##\nlast\n"))
+    py = docs.select(F.concat(F.lit("pkg/mod_"), n, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
+    md = docs.select(F.concat(F.lit("docs/page_"), n, F.lit(".md")).alias("file_path"), F.lit("markdown").alias("language"), marks.alias("content"))
+    return py.unionByName(md)
+
+
+@query
+def parse_symbols(spark, d):
+    return parsing.symbols(sources(spark, d)).withColumn("imports", F.array_join("imports", "; "))
+
+
+def _strategy(name: str):
+    def run(spark, d):
+        own = sources(spark, d)
+        found = chunking.by_symbols(parsing.symbols(own), name)
+        return chunking.with_ids(chunking.cut_text(found, own)).select("point_id", "citation", "symbol_type", "symbol_name", "class_name", F.md5("embed_text").alias("embed_md5"))
+
+    run.__name__ = f"chunk_{name}"
+    return query(run)
+
+
+chunk_file, chunk_class, chunk_function = map(_strategy, ("file", "class", "function"))
+
+
+@query
+def count_by_kind(spark, d):
+    """Symbols by language and kind, with totals."""
+    return parsing.symbols(sources(spark, d)).rollup("language", "symbol_type").agg(F.count("*").alias("symbols"))
+
+
+@query
+def context_expand(spark, d):
+    own = sources(spark, d)
+    found = parsing.symbols(own)
+    hits = chunking.cut_text(found.where("symbol_name = 'sizeOf'"), own).select("file_path", "class_name", "symbol_name", "text")
+    out = generation.expanded(hits, found, own)
+    return out.select("file_path", "class_signature", F.array_join("imports", "; ").alias("imports"), F.array_join("siblings", ", ").alias("siblings"), F.md5("expanded").alias("expanded_md5"))
+
+
+@query
+def count_by_language(spark, d):
+    return table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def discover_filter(spark, d):
+    """Pages' paths with extensions dealt by number, put through the discovery rules."""
+    endings = F.array(*map(F.lit, (".py", ".md", ".min.js", ".lock", ".TS", "_pb2.py")))
+    folders = F.array(*map(F.lit, ("src", "node_modules", ".hidden", "lib")))
+    pages = table(spark, d, "pages")
+    path = F.concat(F.get(folders, (F.col("page_id") % 4).cast("int")), F.lit("/f"), F.col("page_id"), F.get(endings, (F.col("page_id") % 6).cast("int")))
+    found = pages.select(path.alias("file_path"), F.octet_length("html").alias("size")).where(files.wanted(path, F.octet_length("html"), 20_000))
+    return found.withColumn("language", files.language(F.col("file_path"))).withColumn("size", F.col("size").cast("long"))
+
+
+# -- synchronisation ---------------------------------------------------------------------
+
+
+def versions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The corpus before and after: ids divisible by 10 are gone, those one above have changed, repeated ids keep the last."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("p"), F.col("doc_id")).alias("point_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    before = docs.where("doc_id % 7 <> 0").select("point_id", F.sha2("text", 256).alias("content_hash"))
+    after = docs.where("doc_id % 10 <> 0").select("point_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 10 == 1, F.lit("+")).otherwise(F.lit(""))), 256).alias("content_hash"), F.col("doc_id").alias("position"))
+    return before, after
+
+
+@query
+def sync_actions(spark, d):
+    before, after = versions(spark, d)
+    return collection.actions(after, before)
+
+
+@query
+def sync_report(spark, d):
+    before, after = versions(spark, d)
+    return collection.report(collection.actions(after, before))
+
+
+# -- answers -----------------------------------------------------------------------------
+
+
+def answer_blocks(spark, d) -> DataFrame:
+    docs = corpus(spark, d).select("id", F.concat(F.col("source"), F.lit("/doc_"), F.col("id"), F.lit(".txt:1-"), F.size(X.lines_of(F.col("text")))).alias("citation"), "text")
+    hits = retrieval.bm25(corpus(spark, d), questions(spark, d), 5).select("qid", "id", "rank").join(docs, "id")
+    return generation.blocks(hits.select("qid", "rank", "citation", F.concat(F.lit("doc_"), F.col("id")).alias("name"), F.lit("file").alias("kind"), "text"))
+
+
+@query
+def context_blocks(spark, d):
+    both = questions(spark, d).join(answer_blocks(spark, d), "qid", "left")
+    text = generation.prompt(F.col("query"), F.coalesce("blocks", F.array().cast(answer_blocks(spark, d).schema["blocks"].dataType)))
+    return both.select("qid", F.coalesce(F.size("blocks"), F.lit(0)).alias("blocks"), F.length(text).alias("prompt_chars"), F.md5(text).alias("prompt_md5"))
+
+
+@query
+def extractive_answer(spark, d):
+    both = questions(spark, d).join(answer_blocks(spark, d), "qid", "left")
+    answer = generation.extractive_answer(F.col("blocks"))
+    return both.select("qid", F.md5(answer).alias("answer_md5"), generation.abstained(answer).alias("abstained"))
+
+
+def made_answers(spark, d) -> DataFrame:
+    """Answers with known faults: an exact citation, one with other lines, one of an unknown file, a bare path, a dangling reference."""
+    n = F.col("doc_id").cast("string")
+    path = F.concat(F.col("source"), F.lit("/doc_"), n, F.lit(".py"))
+    text = F.concat(F.lit("See "), path, F.lit(":1-9 and "), path, F.lit(":2 [1]. Also lost/file_"), n, F.lit(".md:3–4, Doc_"), n, F.lit(".py, other.rb [7] ["), (F.col("doc_id") % 3).cast("string"), F.lit("]"))
+    hits = F.array(F.struct(F.concat(path, F.lit(":1-9")).alias("citation"), path.alias("file_path")))
+    return table(spark, d, "documents").where("source is not null").select("doc_id", text.alias("text"), hits.alias("hits"))
+
+
+@query
+def citation_check(spark, d):
+    out = generation.checked(made_answers(spark, d))
+    joined = lambda c: F.array_join(c, " ").alias(c)
+    return out.select("doc_id", joined("grounded"), joined("drifted"), joined("invented"), F.array_join(F.transform("bad_refs", lambda x: x.cast("string")), " ").alias("bad_refs"))
+
+
+@query
+def abstention(spark, d):
+    talks = table(spark, d, "conversations")
+    return talks.groupBy("role").agg(F.count("*").alias("turns"), F.sum(generation.abstained(F.coalesce("text", F.lit(""))).cast("long")).alias("abstained"))
