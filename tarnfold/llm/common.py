@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship  # noqa: F401
+
 #: The word rule of the contracts: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A key with at least this share of all rows is hot; there can be no more than its inverse.
@@ -31,20 +31,6 @@ def shared_dir(spark: SparkSession) -> str:
     return str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()).rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, so their Python workers can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_tarnfold_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="tarnfold-")) / "tarnfold_package.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(target))
-    context._tarnfold_shipped = True
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
