@@ -89,23 +89,22 @@ def word_counts(text: Column, lang: Column) -> Column:
     return F.when(lang.isin(*COMMON_WORDS), let(runs, counted))
 
 
+def histograms(docs: DataFrame) -> DataFrame:
+    """docs with a struct `_q` of the profile and both histograms."""
+    text = common.text_or_empty()
+    profile = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("*"))
+    own = F.struct(profile.alias("profile"), class_counts(text).cast("array<long>").alias("chars"), word_counts(text, F.col("lang")).cast("array<long>").alias("common"))
+    return docs.select("*", own.alias("_q"))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """docs with a struct `_q` of base counts and histograms."""
     text = common.text_or_empty()
-    profile = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("*"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = common.words_of(text)
     base = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
-    return docs.select(
-        "*",
-        F.struct(
-            profile.alias("profile"),
-            base.alias("words"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            class_counts(text).cast("array<long>").alias("chars"),
-            word_counts(text, F.col("lang")).cast("array<long>").alias("common"),
-        ).alias("_q"),
-    )
+    twice = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    return histograms(docs).withColumn("_q", F.struct("_q.*", base.alias("words"), twice.alias("n_dup_lines")))
 
 
 def references(found: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns; the references come from all of docs."""
-    refs = common.stored(references(measured(docs)), "op6-references")
+    refs = common.stored(references(histograms(docs)), "op6-references")
     return judged(measured(docs), refs).where("_q.kept").select(*docs.columns)
 
 

@@ -9,8 +9,9 @@
 3.  Documents that share a token are partitioned into groups (by the least document they share
     one with). The matrix has a row for each token and group whose union of tokens has it.
 4.  For each document and group the shared tokens are counted; the group is opened for the
-    document only if they reach slack + 1 less the document's empty parts. A linked pair
-    always meets in the home group of either.
+    document only if they reach what a linked pair shares at least (slack + 1, or more where
+    chance makes fewer all but impossible: see Parts.agreement) less the document's empty
+    parts. A linked pair always meets in the home group of either.
 5.  Of opened groups the shingles are read again. Within a room (a group and its visitors)
     documents that have too few shingles in the union of the others drop out, and the rest is
     searched breadth first, comparing only with documents not reached yet, so a group of near
@@ -21,7 +22,7 @@
 
 No pair table is made: rooms return the least document of each local component. The
 thresholds are exact integers (100 * intersection >= percent * union). Sets are of 64-bit
-hashes.
+hashes, of which 48 bits travel to the rooms.
 
 Edge cases: a null text is empty; a set without words is linked with nothing, not even
 another empty one; fewer words than a shingle are one shingle; rows that share a doc_id
@@ -40,6 +41,8 @@ from . import common, components, word_hash
 
 WORDS, PERCENT = 4, 85
 ROOM_DOCS, ROOM_SHINGLES = 4_000, 1_500_000
+#: How far below its mean a linked pair's agreement may lie.
+DEVIATIONS = 6.5
 SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -61,6 +64,19 @@ class Parts:
         self.percent, self.classes = percent, size_classes(percent, 1 << 40)
         self.lows = np.array([c[0] for c in self.classes])
 
+    def agreement(self, n: int, d: int, slack: int, m: int) -> int:
+        """Parts in which a set of n agrees with any that it is linked with.
+
+        slack + 1 for certain. But the hashes of the at most n (1 - t) / t shingles in which they
+        differ fall into parts at random, some into the same: the number of parts without one has
+        a mean and deviation (occupancy of boxes by balls), and it lies DEVIATIONS below its mean with a
+        chance under 1e-9, in the worst case of a pair right at the threshold.
+        """
+        balls = min(d, n * (100 - self.percent) // self.percent)
+        load = balls / m
+        mean, spread = m * np.exp(-load), m * (np.exp(-load) - (1 + load) * np.exp(-2 * load))
+        return max(slack + 1, int(mean - DEVIATIONS * spread**0.5))
+
     def tokens(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
         """hashes sorted and distinct -> tokens, and how many of them a linked document shares at least."""
         n = len(hashes)
@@ -81,7 +97,7 @@ class Parts:
                 none = np.setdiff1d(np.arange(m, dtype=np.uint64), place)
                 place, content = np.concatenate((place, none)), np.concatenate((content, np.zeros(len(none), np.uint64)))
             found.append(word_hash.mix(content + word_hash.mix(place + np.uint64(i << 32))))
-            need = min(need, max(1, slack + 1 - empty))
+            need = min(need, max(1, self.agreement(n, d, slack, m) - empty))
         return (np.concatenate(found), need) if found else (np.zeros(0, np.uint64), 0)
 
 
@@ -127,6 +143,17 @@ def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, need int, tokens array<long>")
 
 
+def short(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough within a room, where a set meets few others."""
+    return (hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def placed_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
     """places (doc, ...) with the set of each doc, read again from its text: one shuffle of sets, to where they meet."""
     rest = [c for c in places.columns if c != "doc"]
@@ -138,7 +165,7 @@ def placed_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [s.tobytes() for _, s, _ in sets_of([part], words)]
+                sets = [short(s) for _, s, _ in sets_of([part], words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), part.column(2)], names=["doc", "shingles", "spots"])
 
     schema = f"doc long, shingles binary, spots {spots.schema['spots'].dataType.simpleString()}"
@@ -148,7 +175,7 @@ def placed_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
 def _loaded(table: pa.Table):
     """Documents of a room: ids, sizes, shingles renumbered from 0, where each document's begin."""
     ids = table.column("doc").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    sets = [long(x) for x in table.column("shingles").to_pylist()]
     sizes = np.array([len(s) for s in sets], np.int64)
     kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
     return ids, sizes, flat, np.concatenate(([0], np.cumsum(sizes))), len(kinds)
