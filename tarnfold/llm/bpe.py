@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 100_000, 250_000
 END = "</w>"
 NAME = "word_bpe_49k.json"
 

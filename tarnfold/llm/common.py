@@ -86,6 +86,13 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, how)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in smaller pieces, so few texts at once are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

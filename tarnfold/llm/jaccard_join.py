@@ -103,7 +103,7 @@ class Parts:
 
 def sets_of(batches, words: int):
     """Arrow batches (doc_id, text) -> (doc_id, hashes, number of words) of each row."""
-    for batch in batches:
+    for batch in common.slices(batches):
         ids = batch.column(0).to_pylist()
         at = 0
         for h, first in word_hash.batches((x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()):

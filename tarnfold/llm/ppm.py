@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def scored(batches):
         m = held.value
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             fine = [i for i, x in enumerate(texts) if m.langs and has_letter(x)]
             data = [texts[i].encode("utf-8", "replace") for i in fine]
