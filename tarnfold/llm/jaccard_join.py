@@ -6,12 +6,14 @@
     are dealt to m = d + 1 + slack parts, so linked sets agree in at least slack + 1 parts. A
     part that is not empty is a token (hash of instance, place and content); sets that have so
     many empty parts that these alone might make up the agreement get tokens for them too.
-3.  Documents that share a token are partitioned into groups (by the least document they share
-    one with). The matrix has a row for each token and group whose union of tokens has it.
+3.  Documents that share enough tokens with others at all are partitioned into groups: each
+    token has a leader, the least document with it, and a document goes to the least of the
+    leaders with which it has many tokens. The matrix has a row for each token and group whose union of tokens has it.
 4.  For each document and group the shared tokens are counted; the group is opened for the
     document only if they reach what a linked pair shares at least (slack + 1, or more where
     chance makes fewer all but impossible: see Parts.agreement) less the document's empty
-    parts. A linked pair always meets in the home group of either.
+    parts. A linked pair meets in the lesser of their home groups; visits the other way are
+    left out.
 5.  Of opened groups the shingles are read again. Within a room (a group and its visitors)
     documents that have too few shingles in the union of the others drop out, and the rest is
     searched breadth first, comparing only with documents not reached yet, so a group of near
@@ -43,6 +45,8 @@ WORDS, PERCENT = 4, 85
 ROOM_DOCS, ROOM_SHINGLES = 4_000, 1_500_000
 #: How far below its mean a linked pair's agreement may lie.
 DEVIATIONS = 6.5
+#: A leader with at least one in so many of the tokens that a document has with its main leader may be its group's.
+STRONG = 4
 SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -261,9 +265,15 @@ def _pairs_table(pairs: list[tuple[int, int]]) -> pa.Table:
 
 def opened_groups(shared: DataFrame) -> DataFrame:
     """shared (token, doc, need, n, leader) -> (room, doc, n): each group with its members and the visitors it opens for."""
-    home = shared.groupBy("doc").agg(F.min("leader").alias("room"), F.max("n").alias("n"))
-    matrix = shared.join(home.drop("n"), "doc").select("token", "room").distinct()
-    meets = shared.join(matrix, "token").groupBy("doc", "room").agg(F.count("*").alias("both"), F.min("need").alias("need"), F.max("n").alias("n"))
+    enough = shared.groupBy("doc").agg(F.count("*").alias("all"), F.min("need").alias("least")).where("all >= least").select("doc")
+    shared = common.stored(shared.join(enough, "doc"), "op8-enough")
+    ties = shared.groupBy("doc", "leader").agg(F.count("*").alias("ties"), F.max("n").alias("n"))
+    most = ties.groupBy("doc").agg(F.max("ties").alias("most"))
+    home = ties.join(most, "doc").where(STRONG * F.col("ties") >= F.col("most")).groupBy("doc").agg(F.min("leader").alias("room"), F.max("n").alias("n"))
+    placed = shared.drop("n").join(home.withColumnRenamed("room", "own"), "doc")
+    matrix = placed.select("token", F.col("own").alias("room")).distinct()
+    # of two groups only the one with the larger name visits the other: either meeting would do
+    meets = placed.join(matrix, "token").where("room < own").groupBy("doc", "room").agg(F.count("*").alias("both"), F.min("need").alias("need"), F.max("n").alias("n"))
     return meets.where(F.col("both") >= F.col("need")).select("room", "doc", "n").unionByName(home.select("room", "doc", "n")).distinct()
 
 
