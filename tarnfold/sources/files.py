@@ -35,7 +35,9 @@ def decoded(files: DataFrame) -> DataFrame:
 def load_tree(spark: SparkSession, root: str, most_bytes: int = 500_000) -> DataFrame:
     """(file_path, language, content, sha) of a checked-out tree; `length` is tested before contents are read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.expr(f"substring(path, locate('{root.rstrip('/')}/', path) + {len(root.rstrip('/')) + 1})")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    relative = F.expr(f"substring(path, {len(whole) + 2})")
     found = raw.select(relative.alias("file_path"), "length", "content").where(wanted(F.col("file_path"), F.col("length"), most_bytes))
     return decoded(found)
 
