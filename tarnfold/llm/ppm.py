@@ -75,7 +75,9 @@ def grams_of(data: np.ndarray, order: int) -> np.ndarray:
 
 class Model:
     def __init__(self, texts: dict[str, list[bytes]]):
-        self.langs = sorted(texts)
+        self.langs = sorted(k for k, v in texts.items() if any(v))
+        if not self.langs:
+            return
         n_langs = len(self.langs)
         data = {k: [np.concatenate((np.zeros(ORDER, np.uint8), np.frombuffer(x, np.uint8))) for x in v] for k, v in texts.items()}
         low_keys, low_cost = np.zeros(0, np.uint64), np.full((1, n_langs), 8.0, np.float32)

@@ -37,6 +37,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 Z, MOST_BAD = 1.2816, 0.25
+#: Bad rate of the one page that stands above all others.
+PRIOR_BAD = 0.1
 LEAST_RHO, MOST_RHO = 1e-4, 0.999
 
 
@@ -94,7 +96,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: one row per host with pages, n (labelled pages) and bad; adds mean and deviation."""
     hosts = common.stored(with_names(outcomes), "op1-hosts")
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    everything = hosts.agg(*sums).select(((F.coalesce("bad", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("up"))
+    everything = hosts.agg(*sums).select(((F.coalesce("bad", F.lit(0)) + PRIOR_BAD) / (F.coalesce("n", F.lit(0)) + 1)).alias("up"))
     suffixes = shrink(hosts.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(everything)))
     up = suffixes.select("suffix", F.col("mean").alias("up"))
     domains = shrink(hosts.groupBy("suffix", "domain").agg(*sums).join(up, "suffix"))
@@ -161,7 +163,7 @@ bad_docs AS (SELECT doc_id AS number, max(CASE WHEN quality = 0 OR toxic = 1 THE
 hosts AS (SELECT host, count(b.bad)::DOUBLE AS n, coalesce(sum(b.bad), 0)::DOUBLE AS bad FROM numbered LEFT JOIN bad_docs b USING (number) GROUP BY 1),
 parts AS (SELECT *, string_split(host, '.') AS l, (array_to_string(string_split(host, '.')[-2:], '.') IN ({_IN}))::int AS wide FROM hosts),
 named AS (SELECT host, n, bad, array_to_string(l[greatest(len(l) - 1 - wide, 1):], '.') AS domain, array_to_string(l[greatest(len(l) - wide, 1):], '.') AS suffix FROM parts),
-a0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM named) AS up FROM named GROUP BY 1),
+a0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + {PRIOR_BAD}) / (coalesce(sum(n), 0) + 1) FROM named) AS up FROM named GROUP BY 1),
 {_level("suffixes", "a0", "suffix")},
 b0 AS (SELECT suffix, domain, sum(d.n) AS n, sum(d.bad) AS bad, any_value(s.mean) AS up FROM named d JOIN suffixes s USING (suffix) GROUP BY 1, 2),
 {_level("domains", "b0", "suffix, domain")},
