@@ -6,7 +6,8 @@
     are dealt to m = d + 1 + slack parts, so linked sets agree in at least slack + 1 parts. A
     part that is not empty is a token (hash of instance, place and content); sets that have so
     many empty parts that these alone might make up the agreement get tokens for them too.
-3.  Documents that share enough tokens with others at all are partitioned into groups: each
+3.  A document stays only if one of its rarest tokens is one of the rarest of another, as for
+    any two that are linked (see that_may_link). Those that stay are partitioned into groups: each
     token has a leader, the least document with it, and a document goes to the least of the
     leaders with which it has many tokens. The matrix has a row for each token and group whose union of tokens has it.
 4.  For each document and group the shared tokens are counted; the group is opened for the
@@ -81,12 +82,11 @@ class Parts:
         mean, spread = m * np.exp(-load), m * (np.exp(-load) - (1 + load) * np.exp(-2 * load))
         return max(slack + 1, int(mean - DEVIATIONS * spread**0.5))
 
-    def tokens(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
-        """hashes sorted and distinct -> tokens, and how many of them a linked document shares at least."""
+    def tokens(self, hashes: np.ndarray):
+        """hashes sorted and distinct -> for each instance: its number, how many tokens a document linked there shares at least, tokens."""
         n = len(hashes)
         own = int(np.searchsorted(self.lows, n, "right")) - 1
         wanted = [own] + [own + 1] * (100 * n >= self.percent * self.classes[own + 1][0])
-        found, need = [], 1 << 30
         values = word_hash.mix(hashes ^ SEED)
         for i in wanted:
             _, _, d, slack = self.classes[i]
@@ -100,9 +100,7 @@ class Parts:
             if empty > slack:
                 none = np.setdiff1d(np.arange(m, dtype=np.uint64), place)
                 place, content = np.concatenate((place, none)), np.concatenate((content, np.zeros(len(none), np.uint64)))
-            found.append(word_hash.mix(content + word_hash.mix(place + np.uint64(i << 32))))
-            need = min(need, max(1, self.agreement(n, d, slack, m) - empty))
-        return (np.concatenate(found), need) if found else (np.zeros(0, np.uint64), 0)
+            yield i, max(1, self.agreement(n, d, slack, m) - empty), word_hash.mix(content + word_hash.mix(place + np.uint64(i << 32)))
 
 
 def sets_of(batches, words: int):
@@ -127,24 +125,34 @@ def packed(rows, size: int = 2_000):
         yield pack
 
 
-def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), sig (hash of the set; null if empty), need, tokens."""
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n (size of the set), sig (hash of the set; null if empty)."""
+
+    def row(doc_id, s, _n):
+        return doc_id, len(s), np.array([word_hash.mix(s ^ SEED).sum(), word_hash.mix(s + SEED).sum()], np.uint64).tobytes() if len(s) else None
 
     def run(batches):
-        parts = Parts(percent)
+        for pack in packed(row(*x) for x in sets_of(batches, words)):
+            ids, n, sig = zip(*pack, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sig"])
 
-        def row(doc_id, s, _n):
-            tokens, need = parts.tokens(s) if len(s) else (s, 0)
-            sig = np.array([word_hash.mix(s ^ SEED).sum(), word_hash.mix(s + SEED).sum()], np.uint64).tobytes() if len(s) else None
-            return doc_id, len(s), sig, need, tokens.view(np.int64)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary")
 
-        for pack in packed(row(*x) for x in sets_of(batches, words)):
-            ids, n, sig, need, tokens = zip(*pack, strict=True)
+
+def tokens_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(token, doc, kind, need, n): kind is the instance, need what a document linked there shares at least."""
+
+    def run(batches):
+        parts = Parts(percent)
+        rows = ((doc, kind, need, len(s), t) for doc, s, _ in sets_of(batches, words) if len(s) for kind, need, t in parts.tokens(s))
+        for pack in packed(rows, 1_000):
+            ids, kinds, needs, sizes, tokens = zip(*pack, strict=True)
             edges = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(tokens), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(need, pa.int32()), lists], names=["doc_id", "n", "sig", "need", "tokens"])
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(tokens).view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(needs, pa.int32()), pa.array(sizes, pa.int32()), lists], names=["doc", "kind", "need", "n", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, need int, tokens array<long>")
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc long, kind int, need int, n int, tokens array<long>")
+    return found.select(F.explode("tokens").alias("token"), "doc", "kind", "need", "n")
 
 
 def short(hashes: np.ndarray) -> bytes:
@@ -263,17 +271,34 @@ def _pairs_table(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"doc": pa.array(a, pa.int64()), "root": pa.array(b, pa.int64())})
 
 
+def in_several(tokens: DataFrame) -> DataFrame:
+    """The rows of tokens that two documents or more have, with each one's leader."""
+    over = tokens.withColumn("leader", F.expr("min(doc) over (partition by token)")).withColumn("last", F.expr("max(doc) over (partition by token)"))
+    return over.where("leader != last").drop("last")
+
+
+def that_may_link(shared: DataFrame) -> DataFrame:
+    """shared (token, seen, doc, kind, need, ...) -> doc of each document that has a rare token in common with another.
+
+    Of the tokens that linked documents share in an instance the rarest comes, for either of
+    them, before at least need - 1 others: it is among the rarest all - need + 1.
+    """
+    ranked = shared.withColumn("rank", F.expr("row_number() over (partition by doc, kind order by seen, token)")).withColumn("all", F.expr("count(*) over (partition by doc, kind)"))
+    rare = ranked.withColumn("least", F.expr("min(need) over (partition by doc, kind)")).where("rank <= all - least + 1")
+    return in_several(rare.select("token", "doc")).select("doc").distinct()
+
+
 def opened_groups(shared: DataFrame) -> DataFrame:
-    """shared (token, doc, need, n, leader) -> (room, doc, n): each group with its members and the visitors it opens for."""
-    enough = shared.groupBy("doc").agg(F.count("*").alias("all"), F.min("need").alias("least")).where("all >= least").select("doc")
-    shared = common.stored(shared.join(enough, "doc"), "op8-enough")
+    """shared (token, doc, kind, need, n, leader) -> (room, doc, n): each group with its members and the visitors it opens for."""
+    enough = shared.groupBy("doc", "kind").agg(F.count("*").alias("all"), F.min("need").alias("least")).where("all >= least").select("doc", "kind")
+    shared = common.stored(shared.join(enough, ["doc", "kind"]), "op8-enough")
     ties = shared.groupBy("doc", "leader").agg(F.count("*").alias("ties"), F.max("n").alias("n"))
     most = ties.groupBy("doc").agg(F.max("ties").alias("most"))
     home = ties.join(most, "doc").where(STRONG * F.col("ties") >= F.col("most")).groupBy("doc").agg(F.min("leader").alias("room"), F.max("n").alias("n"))
     placed = shared.drop("n").join(home.withColumnRenamed("room", "own"), "doc")
     matrix = placed.select("token", F.col("own").alias("room")).distinct()
     # of two groups only the one with the larger name visits the other: either meeting would do
-    meets = placed.join(matrix, "token").where("room < own").groupBy("doc", "room").agg(F.count("*").alias("both"), F.min("need").alias("need"), F.max("n").alias("n"))
+    meets = placed.join(matrix, "token").where("room < own").groupBy("doc", "room", "kind").agg(F.count("*").alias("both"), F.min("need").alias("need"), F.max("n").alias("n"))
     return meets.where(F.col("both") >= F.col("need")).select("room", "doc", "n").unionByName(home.select("room", "doc", "n")).distinct()
 
 
@@ -307,17 +332,18 @@ def links_between_blocks(rooms: DataFrame, docs: DataFrame, words: int, found: D
 def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id for each row."""
     common.ship(docs.sparkSession)
-    facts = common.stored(described(docs, words, percent), "op8-sets")
+    facts = common.stored(described(docs, words), "op8-sets")
     classes = facts.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     classes = common.stored(classes, "op8-classes")
     # documents that another one stands for
     members = common.join_on_hot_key(facts.where("doc_id is not null").select("doc_id", "sig"), classes.where("copies > 1"), "sig", "copies", F.col("doc_id"))
     copies = common.stored(members.where("doc_id != first").select("doc_id").distinct(), "op8-copies")
-    stand = common.by_ids(facts.where("doc_id is not null and n > 0"), copies, "doc_id", "left_anti")
-    tokens = stand.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("doc"), "need", F.col("n").cast("int").alias("n"))
-    within = F.expr("min(doc) over (partition by token)"), F.expr("max(doc) over (partition by token)")
-    shared = tokens.withColumn("leader", within[0]).withColumn("last", within[1]).where("leader != last").drop("last").distinct()
-    shared = common.stored(shared, "op8-shared")
+    # hashed again rather than stored: only one shuffle of tokens is on disk
+    stand = common.by_ids(docs.select("doc_id", "text").where("doc_id is not null"), copies, "doc_id", "left_anti")
+    tokens = tokens_of(stand, words, percent).withColumn("seen", F.expr("count(*) over (partition by token)"))
+    shared = common.stored(in_several(tokens).drop("leader").distinct(), "op8-shared")
+    linked = common.stored(that_may_link(shared), "op8-linked")
+    shared = in_several(common.by_ids(shared.drop("seen"), linked, "doc", "left_semi"))
 
     rooms = common.stored(rooms_in_blocks(common.stored(opened_groups(shared), "op8-opened")), "op8-rooms")
     edges = placed_sets(docs, rooms.select("doc", "room", "block"), words).groupBy("room", "block")
