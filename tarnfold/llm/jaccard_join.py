@@ -7,14 +7,16 @@
     part that is not empty is a token (hash of instance, place and content); sets that have so
     many empty parts that these alone might make up the agreement get tokens for them too.
 3.  A document stays only if one of its rarest tokens is one of the rarest of another, as for
-    any two that are linked (see that_may_link). Those that stay are partitioned into groups: each
+    any two that are linked (see rarest). Those that stay are partitioned into groups: each
     token has a leader, the least document with it, and a document goes to the least of the
-    leaders with which it has many tokens. The matrix has a row for each token and group whose union of tokens has it.
-4.  For each document and group the shared tokens are counted; the group is opened for the
-    document only if they reach what a linked pair shares at least (slack + 1, or more where
-    chance makes fewer all but impossible: see Parts.agreement) less the document's empty
-    parts. A linked pair meets in the lesser of their home groups; visits the other way are
-    left out.
+    leaders with which it has many tokens. The matrix has a row for each group and token in the
+    union of its documents' rarest tokens.
+4.  For each document and group the shared rare tokens are counted; the group is opened for
+    the document only if they reach RARE, or what a linked pair shares at least, if that is
+    less (slack + 1, or more where chance makes fewer all but impossible: see Parts.agreement;
+    less the document's empty parts). Leaving frequent tokens out keeps the count in
+    proportion where thousands of half-similar documents share them. A linked pair meets in
+    the lesser of their home groups; visits the other way are left out.
 5.  Of opened groups the shingles are read again. Within a room (a group and its visitors)
     documents that have too few shingles in the union of the others drop out, and the rest is
     searched breadth first, comparing only with documents not reached yet, so a group of near
@@ -48,6 +50,8 @@ ROOM_DOCS, ROOM_SHINGLES = 4_000, 1_500_000
 DEVIATIONS = 6.5
 #: A leader with at least one in so many of the tokens that a document has with its main leader may be its group's.
 STRONG = 4
+#: Rare tokens that a document must share with a group that it visits.
+RARE = 4
 SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -277,15 +281,21 @@ def in_several(tokens: DataFrame) -> DataFrame:
     return over.where("leader != last").drop("last")
 
 
-def that_may_link(shared: DataFrame) -> DataFrame:
-    """shared (token, seen, doc, kind, need, ...) -> doc of each document that has a rare token in common with another.
+def rarest(shared: DataFrame, common_ones: int) -> DataFrame:
+    """Of shared (token, doc, kind, need, ...) the rows of tokens that are rare for their document.
 
-    Of the tokens that linked documents share in an instance the rarest comes, for either of
-    them, before at least need - 1 others: it is among the rarest all - need + 1.
+    Of the tokens that two linked documents share in an instance the k-th in order of rarity
+    comes, for either of them, before at least need - k others: so the first common_ones (or
+    need, if that is less) are among the rarest all - need + common_ones of both.
     """
-    ranked = shared.withColumn("rank", F.expr("row_number() over (partition by doc, kind order by seen, token)")).withColumn("all", F.expr("count(*) over (partition by doc, kind)"))
-    rare = ranked.withColumn("least", F.expr("min(need) over (partition by doc, kind)")).where("rank <= all - least + 1")
-    return in_several(rare.select("token", "doc")).select("doc").distinct()
+    ranked = shared.withColumn("seen", F.expr("count(*) over (partition by token)")).withColumn("rank", F.expr("row_number() over (partition by doc, kind order by seen, token)"))
+    whole = ranked.withColumn("all", F.expr("count(*) over (partition by doc, kind)")).withColumn("least", F.expr("min(need) over (partition by doc, kind)"))
+    return whole.where(F.col("rank") <= F.col("all") - F.col("least") + common_ones).drop("seen", "rank", "all", "least")
+
+
+def that_may_link(shared: DataFrame) -> DataFrame:
+    """The doc of each document that has a rare token in common with another."""
+    return in_several(rarest(shared, 1).select("token", "doc")).select("doc").distinct()
 
 
 def opened_groups(shared: DataFrame) -> DataFrame:
@@ -296,10 +306,11 @@ def opened_groups(shared: DataFrame) -> DataFrame:
     most = ties.groupBy("doc").agg(F.max("ties").alias("most"))
     home = ties.join(most, "doc").where(STRONG * F.col("ties") >= F.col("most")).groupBy("doc").agg(F.min("leader").alias("room"), F.max("n").alias("n"))
     placed = shared.drop("n").join(home.withColumnRenamed("room", "own"), "doc")
+    placed = common.stored(rarest(placed, RARE), "op8-rarest")
     matrix = placed.select("token", F.col("own").alias("room")).distinct()
     # of two groups only the one with the larger name visits the other: either meeting would do
     meets = placed.join(matrix, "token").where("room < own").groupBy("doc", "room", "kind").agg(F.count("*").alias("both"), F.min("need").alias("need"), F.max("n").alias("n"))
-    return meets.where(F.col("both") >= F.col("need")).select("room", "doc", "n").unionByName(home.select("room", "doc", "n")).distinct()
+    return meets.where(F.col("both") >= F.least("need", F.lit(RARE))).select("room", "doc", "n").unionByName(home.select("room", "doc", "n")).distinct()
 
 
 def rooms_in_blocks(opened: DataFrame) -> DataFrame:
@@ -340,10 +351,10 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     copies = common.stored(members.where("doc_id != first").select("doc_id").distinct(), "op8-copies")
     # hashed again rather than stored: only one shuffle of tokens is on disk
     stand = common.by_ids(docs.select("doc_id", "text").where("doc_id is not null"), copies, "doc_id", "left_anti")
-    tokens = tokens_of(stand, words, percent).withColumn("seen", F.expr("count(*) over (partition by token)"))
+    tokens = tokens_of(stand, words, percent)
     shared = common.stored(in_several(tokens).drop("leader").distinct(), "op8-shared")
     linked = common.stored(that_may_link(shared), "op8-linked")
-    shared = in_several(common.by_ids(shared.drop("seen"), linked, "doc", "left_semi"))
+    shared = in_several(common.by_ids(shared, linked, "doc", "left_semi"))
 
     rooms = common.stored(rooms_in_blocks(common.stored(opened_groups(shared), "op8-opened")), "op8-rooms")
     edges = placed_sets(docs, rooms.select("doc", "room", "block"), words).groupBy("room", "block")
