@@ -8,7 +8,8 @@ node finds its last token from those of the nodes above it, once for all words t
 the prefix. The end of a word is a symbol of its own ("x</w>").
 
 Two tokens stay apart if merging their symbols by rank gives just them; answers are kept.
-Memory is bounded by a batch and by WORDS_KEPT and PAIRS_KEPT answers a worker.
+Memory is bounded by a batch and by WORDS_KEPT and PAIRS_KEPT answers a worker; a worker without
+work for IDLE_S seconds gives its trie up, so that what runs next has the memory.
 
 Edge cases: a null text is empty and gives no ids; special tokens written in a text become
 their ids, as the tokenizers library does; repeated rows and null doc_ids are encoded like
@@ -17,9 +18,12 @@ others; other columns of the input play no part.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import struct
+import threading
 import unicodedata
 
 import pyarrow as pa
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS_KEPT, PAIRS_KEPT = 100_000, 250_000
+IDLE_S = 3.0
 END = "</w>"
 NAME = "word_bpe_49k.json"
 
@@ -180,13 +185,33 @@ class Trie:
 
 
 _tries: dict[str, Trie] = {}
+_timers: list[threading.Timer] = []
 
 
 def trie(path: str) -> Trie:
     """One for each worker and file."""
-    if path not in _tries:
-        _tries[path] = Trie(path)
-    return _tries[path]
+    while _timers:
+        _timers.pop().cancel()
+    found = _tries.get(path)
+    if found is None:
+        found = _tries[path] = Trie(path)
+    return found
+
+
+def _forget() -> None:
+    _tries.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory unless told
+    if trim:
+        trim(0)
+
+
+def at_rest() -> None:
+    """Forgets the tries if no task asks for one soon; a running task keeps its own."""
+    timer = threading.Timer(IDLE_S, _forget)
+    timer.daemon = True
+    _timers.append(timer)
+    timer.start()
 
 
 #: Texts encoded together.
@@ -214,6 +239,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], full: bool = False) -> D
                         ids.append([i for (i,) in struct.iter_unpack("<I", raw)])
                 columns = [part.column(c) for c in range(part.num_columns - 1)] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if full else []), names=schema.names)
+        del t
+        at_rest()
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(coded, schema)
 
