@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship  # noqa: F401
+from .. import session
 
 #: The word rule of the contracts: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,10 +17,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 HOT_SHARE = 0.001
 #: Rows of one key that one task may get before the key is salted.
 ROWS_PER_SALT = 20_000
+#: Rows of an Arrow batch where the session has Spark's default: texts are long.
+ARROW_ROWS, ARROW_DEFAULT = 1_000, "10000"
 #: A set of ids up to this many rows is broadcast (16 bytes each); a larger one is shuffled.
 BROADCAST_IDS = 1_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, and has texts go to them in batches of few rows."""
+    session.ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, ARROW_DEFAULT) == ARROW_DEFAULT:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
