@@ -13,12 +13,18 @@ from .retrieval import ranked
 
 #: Centroids are fitted on a sample of at most so many vectors; all vectors are indexed.
 SAMPLE = 20_000
+#: Share of the exact neighbours that must be found, and queries on which that is measured.
+LEAST_RECALL, MEASURED = 0.9, 500
 
 
-def centroids(base: DataFrame, lists: int, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means on a bounded sample chosen by a hash of id."""
+def sampled(base: DataFrame) -> np.ndarray:
+    """A bounded sample of vectors chosen by a hash of id."""
     rows = base.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    v = np.array([r[1] for r in rows], np.float64)
+    return np.array([r[1] for r in rows], np.float64)
+
+
+def centroids(v: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means of the rows of v."""
     c = v[: min(lists, len(v))].copy()
     for _ in range(rounds):
         of = (v @ c.T).argmax(1)
@@ -29,11 +35,37 @@ def centroids(base: DataFrame, lists: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def ivf(base: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 6) -> DataFrame:
-    """(qid, id, score, rank): each query looks into the lists of its nearest centroids only."""
+def probes_for(v: np.ndarray, c: np.ndarray, q: np.ndarray, k: int, least: float = LEAST_RECALL) -> int:
+    """How many lists a query must look into to find `least` of its k nearest, measured on a sample v and queries q.
+
+    Two standard errors are asked for on top. Vectors equal to the query lie in its first list and do not count.
+    In a sample the k nearest are farther away than among all vectors, so the figure is on the safe side.
+    """
+    q = q[np.linspace(0, len(q) - 1, min(len(q), MEASURED)).astype(int)]
+    of = (v @ c.T).argmax(1)
+    needed, found = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1), []
+    for i, one in enumerate(q):
+        scores = np.where((v == one).all(1), -np.inf, v @ one)
+        best = np.argsort(-scores, kind="stable")[:k]
+        found.append(needed[i, of[best[scores[best] > -np.inf]]])
+    for n in range(1, len(c)):
+        share = np.array([(x < n).mean() for x in found if len(x)])
+        if len(share) > 1 and share.mean() - 2 * share.std(ddof=1) / len(share) ** 0.5 >= least:
+            return n
+    return len(c)
+
+
+def ivf(base: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int | None = None) -> DataFrame:
+    """(qid, id, score, rank): each query looks into the lists of its nearest centroids only.
+
+    Without `probes` as many as LEAST_RECALL takes, as measured on a sample.
+    """
     session.ship(base.sparkSession)
-    c = centroids(base, lists)
+    v = sampled(base)
+    c = centroids(v, lists)
     asked = queries.select("qid", "vector").collect()
+    if probes is None:
+        probes = probes_for(v, c, np.array([r[1] for r in asked], np.float64), k) if len(v) and asked else lists
     wanted = {}
     for r in asked:
         for i in np.argsort(-(c @ np.array(r[1], np.float64)), kind="stable")[:probes].tolist():
