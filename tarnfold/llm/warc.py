@@ -9,7 +9,8 @@ Reader: at each position a gzip member or a "WARC/1." version line must begin. A
 passes if it decompresses, has a header block, its Content-Length fits, the two line ends
 follow, and its block digest (and a response's payload digest) are right. After a failed
 check the next place is searched at which a record passes; the bytes between are logged as
-a gap with the reason. Files are read in windows, so memory is bounded by one record.
+a gap with the reason. Files are read in windows, so memory is bounded by one record;
+headers may have any length.
 
 Edge cases: a null html is an empty payload; a null url has no target header, a null page_id
 no number in its record's id (it reads back as null); rows that share page_id and payload are
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from . import common
 
 ROLL_BYTES, WINDOW, LEAST_BYTES = 16 << 20, 1 << 20, 0
-#: Longest header block, and longest record once decompressed.
-HEADER_BYTES, RECORD_BYTES = 1 << 16, 1 << 30
+#: Against runaway members only: a cell has less than 2 GiB, so a page's html and url (escaped, three times that) stay below it.
+RECORD_BYTES = 1 << 33
+HEADERS_END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -71,7 +73,7 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """Headers in lower case, block and length of the record that data begins with."""
     if not data.startswith(VERSION):
         raise Failed("no version line")
-    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    end = data.find(HEADERS_END)
     if end < 0:
         raise Failed("no end of headers")
     head = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[:end].decode("utf-8", "replace").split("\r\n")[1:]))
@@ -101,6 +103,7 @@ class Archive:
 
     def __init__(self, file, size: int):
         self.file, self.size, self.at, self.held = file, size, 0, b""
+        self.asked, self.ends = 0, -1
 
     def bytes_at(self, pos: int, n: int) -> bytes:
         if pos < self.at or pos + n > self.at + len(self.held):
@@ -119,6 +122,21 @@ class Archive:
             pos += max(1, len(data) - len(VERSION) + 1)
         return self.size
 
+    def headers_end(self, pos: int) -> int:
+        """Where the first blank line from pos on begins; the size if nowhere. What was searched before is not searched again."""
+        if self.asked <= pos <= self.ends:
+            return self.ends
+        at = pos
+        while at < self.size:
+            data = self.bytes_at(at, WINDOW)
+            found = data.find(HEADERS_END)
+            if found >= 0:
+                at += found
+                break
+            at += max(1, len(data) - len(HEADERS_END) + 1)
+        self.asked, self.ends = pos, min(at, self.size)
+        return self.ends
+
     def record_at(self, pos: int) -> tuple[dict[str, str], bytes, int]:
         """Headers, block and length in the file of the record at pos."""
         start = self.bytes_at(pos, len(VERSION))
@@ -141,11 +159,14 @@ class Archive:
             return head, block, used - len(z.unused_data)
         if not start.startswith(VERSION):
             raise Failed("no record begins here")
-        head = self.bytes_at(pos, HEADER_BYTES)
-        size = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,10})[ \t]*\r\n", head.partition(b"\r\n\r\n")[0] + b"\r\n", re.I)
+        end = self.headers_end(pos)
+        if end == self.size:
+            raise Failed("no end of headers")
+        head = self.bytes_at(pos, end - pos)
+        size = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,10})[ \t]*\r\n", head + b"\r\n", re.I)
         if not size:
             raise Failed("no content length")
-        n = head.find(b"\r\n\r\n") + 8 + int(size[1])
+        n = end - pos + 8 + int(size[1])
         if n > min(RECORD_BYTES, self.size - pos):
             raise Failed("record cut off")
         return parsed(self.bytes_at(pos, n))
