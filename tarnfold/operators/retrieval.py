@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,8 +14,10 @@ from pyspark.sql.window import Window
 from .. import session
 from ..functions import text
 
-#: A stated query set is collected up to this size; larger ones are cut into several calls.
+#: Queries that are collected and broadcast at once; a larger set goes through the base in several blocks.
 MOST_QUERIES = 50_000
+#: Products of queries and base vectors that a worker holds at once.
+CELLS = 4_000_000
 
 
 def ranked(scored: DataFrame, k: int, item: str, by: Column | None = None) -> DataFrame:
@@ -24,20 +29,33 @@ def ranked(scored: DataFrame, k: int, item: str, by: Column | None = None) -> Da
 def exact_knn(base: DataFrame, queries: DataFrame, k: int, match: str | None = None) -> DataFrame:
     """base (id, vector[, match]) and queries (qid, vector[, match]) -> (qid, id, score, rank).
 
-    Queries are a stated set, so they travel to the base: each batch of base vectors is
-    multiplied with all of them at once and only its own k best a query go on, so the shuffle
+    Queries travel to the base in blocks of MOST_QUERIES: each batch of base vectors is
+    multiplied with all of a block and only its own k best a query go on, so the shuffle
     holds k rows a query and batch. `match` names a column that must be equal (filtered before
     the choice, so k is filled up).
     """
-    rows = queries.select("qid", "vector", *([match] if match else [])).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
+    asked = queries.select("qid", "vector", *([match] if match else []))
     spark = base.sparkSession
     session.ship(spark)
     schema = f"qid long, id {base.schema['id'].dataType.simpleString()}, score double"
-    if not rows:
+    first = asked.limit(MOST_QUERIES + 1).collect()
+    # a large set is fetched partition by partition, so the driver holds one of them and one block
+    blocks = in_blocks(asked.toLocalIterator(), MOST_QUERIES) if len(first) > MOST_QUERIES else [first] if first else []
+    found = [best_of_block(base, rows, k, match, schema) for rows in blocks]
+    if not found:
         return spark.createDataFrame([], schema + ", rank int")
-    held = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), [r[2] for r in rows] if match else None))
+    return ranked(reduce(DataFrame.unionByName, found), k, "id")
+
+
+def in_blocks(rows, most: int):
+    rows = iter(rows)
+    while block := list(islice(rows, most)):
+        yield block
+
+
+def best_of_block(base: DataFrame, rows: list, k: int, match: str | None, schema: str) -> DataFrame:
+    """k best of each batch of base for each of the queries in rows."""
+    held = base.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), [r[2] for r in rows] if match else None))
 
     def best(batches):
         qids, q, wanted = held.value
@@ -46,18 +64,19 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, match: str | None = N
                 continue
             ids = np.array(batch.column(0).to_pylist())
             v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            scores = q @ v.T
-            if wanted is not None:
-                own = batch.column(2).to_pylist()
-                for i, w in enumerate(wanted):
-                    scores[i, [x != w or w is None for x in own]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores.round(8)), axis=1)[:, :k]
-            out = [(qids[i], ids[j].item(), float(scores[i, j])) for i in range(len(qids)) for j in order[i] if scores[i, j] > -np.inf]
-            a, b, c = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, batch.column(0).type), pa.array(c, pa.float64())], names=["qid", "id", "score"])
-
-    found = base.select("id", "vector", *([match] if match else [])).mapInArrow(best, schema)
-    return ranked(found, k, "id")
+            own = batch.column(2).to_pylist() if wanted is not None else None
+            step = max(1, CELLS // len(v))
+            for at in range(0, len(qids), step):
+                scores = q[at : at + step] @ v.T
+                if wanted is not None:
+                    for i, w in enumerate(wanted[at : at + step]):
+                        scores[i, [x != w or w is None for x in own]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores.round(8)), axis=1)[:, :k]
+                out = [(qids[at + i], ids[j].item(), float(scores[i, j])) for i in range(len(scores)) for j in order[i] if scores[i, j] > -np.inf]
+                a, b, c = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, batch.column(0).type), pa.array(c, pa.float64())], names=["qid", "id", "score"])
+
+    return base.select("id", "vector", *([match] if match else [])).mapInArrow(best, schema)
 
 
 def postings(docs: DataFrame, key: str, content: str) -> DataFrame:

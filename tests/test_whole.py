@@ -16,3 +16,12 @@ def test_ivf_finds_nine_tenths_of_the_exact_neighbours(spark):
     asked = base.where("id % 20 = 0").withColumnRenamed("id", "qid")
     found, exact = (f(base, asked, 11).where("id <> qid") for f in (ann.ivf, retrieval.exact_knn))
     assert ann.recall(found, exact, 10).first().recall >= 0.9
+
+
+def test_exact_search_takes_more_queries_than_a_block(spark, monkeypatch):
+    base = vectors_of(spark, 200, 6)
+    asked = base.where("id % 2 = 0").withColumnRenamed("id", "qid")
+    found = lambda: {(r.qid, r.id, r.rank, round(r.score, 8)) for r in retrieval.exact_knn(base, asked, 3).collect()}
+    want = found()
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 30)
+    assert found() == want and len(want) == 300
