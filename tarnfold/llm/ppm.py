@@ -8,8 +8,10 @@ Counts are frozen after fitting, so the full cost of every (context, symbol) tha
 language has seen is worked out once, for all languages, and scoring is a table lookup a
 byte. The text goes to the language with the shortest code.
 
-The fit takes PER_LANG documents a language at most, MOST_LANGS languages at most (the
-first by name) and no document over MOST_BYTES, chosen by a hash of doc_id.
+The fit learns every lang value, from PER_LANG documents each at most, chosen by a hash of
+doc_id among those of at most MOST_BYTES; a language with fewer than LONG_PER_LANG of these
+takes the shortest of its longer ones, LONG_PER_LANG in all. Languages are learned and scored
+in blocks of LANGS_AT_ONCE: a text goes through the blocks one after another.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; ties go to the
 first language by name; with nothing to learn from all is `und`; null doc_ids and repeated
@@ -22,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +32,7 @@ from pyspark.sql.window import Window
 from . import common
 
 ORDER = 4
-PER_LANG, MOST_LANGS, MOST_BYTES = 250, 64, 50_000
+PER_LANG, LONG_PER_LANG, LANGS_AT_ONCE, MOST_BYTES = 250, 5, 64, 50_000
 #: Bytes times languages worked on at once.
 CELLS = 4_000_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -159,52 +162,86 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """docs (doc_id, text, lang): only rows with a lang are learned from."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG) -> list[Broadcast]:
+    """docs (doc_id, text, lang) -> a broadcast model for each block of languages; only rows with a lang are learned from."""
     spark = docs.sparkSession
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    names = [r[0] for r in labelled.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS).collect()]
-    if not names:
-        return Model({})
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.where(F.col("lang").isin(names)).withColumn("place", place).where(F.col("place") <= per_lang).select("doc_id").distinct()
-    ids = [(r[0],) for r in chosen.collect()]  # per_lang * MOST_LANGS at most
-    sample = docs.select("doc_id", "text", "lang").where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(spark.createDataFrame(ids, "doc_id long")), "doc_id")
-    texts: dict[str, set] = {k: set() for k in names}
-    for r in sample.where(F.col("lang").isin(names)).select("lang", "text").distinct().collect():
-        texts[r[0]].add(r[1].encode())
-    return Model({k: sorted(v) for k, v in texts.items()})
-
-
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    size = F.octet_length("text")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (size > 0)).select("doc_id", "lang", size.alias("size"))
+    long = F.col("size") > MOST_BYTES
+    # short ones by hash, then long ones by size
+    order = [long, F.when(long, F.col("size")), F.xxhash64("doc_id"), F.col("doc_id")]
+    placed = labelled.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    chosen = common.stored(placed.where((F.col("place") <= per_lang) & (~long | (F.col("place") <= LONG_PER_LANG))).select("lang", "doc_id", "size"), "op10-chosen")
+    names = [r[0] for r in chosen.select("lang").distinct().orderBy("lang").collect()]
+    # per_lang ids a language: broadcast only if few
+    near = F.broadcast(chosen.distinct()) if len(names) * per_lang <= common.BROADCAST_IDS else chosen.distinct()
+    sample = docs.select("lang", "doc_id", size.alias("size"), "text").join(near, ["lang", "doc_id", "size"])
+    if len(names) > LANGS_AT_ONCE:
+        sample = common.stored(sample, "op10-sample")
+    models = []
+    for at in range(0, len(names), LANGS_AT_ONCE):
+        texts: dict[str, set] = {k: set() for k in names[at : at + LANGS_AT_ONCE]}
+        for r in sample.where(F.col("lang").isin(list(texts))).select("lang", "text").distinct().collect():
+            texts[r[0]].add(r[1].encode("utf-8", "replace"))
+        models.append(spark.sparkContext.broadcast(Model({k: sorted(v) for k, v in texts.items()})))
+    return models or [spark.sparkContext.broadcast(Model({}))]
+
+
+#: What a block leaves for the next: the shortest code so far, its language, and the sum of 2 ** (shortest - code).
+STATE = "struct<lang: string, bits: double, mass: double>"
+
+
+def identify(docs: DataFrame, models: list[Broadcast], keep: list[str]) -> DataFrame:
     """The columns in `keep` of each document, with lang_pred, score and bits a byte (null: not scored)."""
     common.ship(docs.sparkSession)
-    schema = docs.select(*keep).schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("bits_per_byte", "double")):
+    found = docs.select(*keep, F.col("text").alias("_text"), F.lit(None).cast(STATE).alias("_best"))
+    for i, held in enumerate(models):
+        last = i == len(models) - 1
+        found = scored_by(found, held, keep, last)
+        if not last:
+            # a worker holds the model of one block only
+            found = common.stored(found, "op10-block")
+    return found
+
+
+def scored_by(docs: DataFrame, held: Broadcast, keep: list[str], last: bool) -> DataFrame:
+    """docs (keep, _text, _best) with _best brought up to date; after the last block what identify gives."""
+    schema = docs.select(*keep).schema if last else docs.schema
+    for name, kind in (("lang_pred", "string"), ("score", "double"), ("bits_per_byte", "double")) if last else ():
         schema = schema.add(name, kind)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    state = pa.struct([("lang", pa.string()), ("bits", pa.float64()), ("mass", pa.float64())])
 
     def scored(batches):
         m = held.value
         for batch in common.slices(batches):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(batch.num_columns - 2).to_pylist()
+            best = batch.column(batch.num_columns - 1).to_pylist()
             fine = [i for i, x in enumerate(texts) if m.langs and has_letter(x)]
             data = [texts[i].encode("utf-8", "replace") for i in fine]
             bits = m.code_lengths(data)
-            langs, score, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            best = bits.argmin(1) if len(fine) else []
             for k, i in enumerate(fine):
-                j = best[k]
-                langs[i] = m.langs[j]
-                score[i] = float(1 / np.exp2(np.clip(bits[k, j] - bits[k], -1000, 0)).sum())
-                rate[i] = float(bits[k, j] / len(data[k]))
-            columns = [batch.column(c) for c in range(batch.num_columns - 1)] + [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+                j, old = int(bits[k].argmin()), best[i]
+                new = {"lang": m.langs[j], "bits": float(bits[k, j])}
+                # blocks are in order of name, so the earlier one wins a tie
+                if old and old["bits"] <= new["bits"]:
+                    new = {"lang": old["lang"], "bits": old["bits"]}
+                new["mass"] = float(np.exp2(np.clip(new["bits"] - bits[k], -1000, 0)).sum())
+                if old:
+                    new["mass"] += old["mass"] * float(np.exp2(max(new["bits"] - old["bits"], -1000.0)))
+                best[i] = new
+            if last:
+                langs = [x["lang"] if x else "und" for x in best]
+                score = [1 / x["mass"] if x else 0.0 for x in best]
+                rate = [x["bits"] / len(t.encode("utf-8", "replace")) if x else None for x, t in zip(best, texts, strict=True)]
+                columns = [batch.column(c) for c in range(batch.num_columns - 2)] + [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+            else:
+                columns = [batch.column(c) for c in range(batch.num_columns - 1)] + [pa.array(best, state)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, schema)
+    return docs.mapInArrow(scored, schema)
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(sf_dir, "documents", spark).select("doc_id", "text", "lang")
-    model = fit(docs.where(common.fold(4) != 2))
-    return identify(docs, model, ["doc_id"]).select("doc_id", (common.fold(4) == 2).alias("held_out"), "lang_pred", "score", F.round("bits_per_byte", 4).alias("bits_per_byte"))
+    models = fit(docs.where(common.fold(4) != 2))
+    return identify(docs, models, ["doc_id"]).select("doc_id", (common.fold(4) == 2).alias("held_out"), "lang_pred", "score", F.round("bits_per_byte", 4).alias("bits_per_byte"))

@@ -1,10 +1,11 @@
 """Nothing is cut: headers, languages and documents beyond the old limits."""
 
 import io
+import random
 
 from pyspark.sql import functions as F
 
-from tarnfold.llm import warc
+from tarnfold.llm import ppm, warc
 
 
 def test_warc_keeps_pages_with_long_urls(spark):
@@ -17,3 +18,24 @@ def test_warc_keeps_pages_with_long_urls(spark):
         data = b"".join(warc.record(i, "x" * n, b"a") for i in range(3))
         found = list(warc.Archive(io.BytesIO(data), len(data)).salvaged())
         assert [len(h["warc-target-uri"]) for _, _, h, _, _ in found] == [n] * 3
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(7)
+    vocab = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)] for i in range(70)}
+    rows = [(i, " ".join(rng.choices(vocab[k], k=20)), k) for i, k in enumerate(k for k in vocab for _ in range(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = lambda: {r.doc_id: (r.lang, r.lang_pred, round(r.score, 6), round(r.bits_per_byte, 4)) for r in ppm.identify(docs, ppm.fit(docs), ["doc_id", "lang"]).collect()}
+    in_blocks = found()
+    assert all(x[0] == x[1] for x in in_blocks.values()) and len(in_blocks) == len(rows)
+    monkeypatch.setattr(ppm, "LANGS_AT_ONCE", 100)
+    assert found() == in_blocks
+
+
+def test_languages_of_long_documents_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "MOST_BYTES", 300)
+    long = [(i, "vesi talo " * 60, "fi") for i in range(9)]
+    mixed = [(i, "das haus " * (60 if i < 40 else 9), "de") for i in range(20, 50)]
+    docs = spark.createDataFrame([*long, *mixed, (60, None, "en"), (61, "the house " * 9, "en")], "doc_id long, text string, lang string")
+    got = ppm.identify(docs.where("text is not null"), ppm.fit(docs, 3), ["lang"]).collect()
+    assert len(got) == 40 and all(r.lang == r.lang_pred for r in got)
