@@ -3,12 +3,13 @@
 Two histograms are compared with references by the Jensen-Shannon distance (base 2, 0 to 1):
 classes of characters, and common words of the document's language against all others. A
 reference is the sum of the histograms of all documents of a language, so it covers the
-whole corpus; at most one row a listed language plus one for the rest is broadcast.
+whole corpus; references are broadcast only if they are counted few. Languages without
+fixed common words take their most frequent letter runs in the corpus.
 Guards: histograms of fewer than `least_chars` characters or `least_words` letter runs are
-not judged.
+not judged; documents without lang are held, by characters only, against their own sum, and
+only if it fits most of them.
 
-Edge cases: a null text has no words; a null or unlisted lang is held against the pooled
-rest by characters only; null doc_ids and repeated rows are judged like any other; own
+Edge cases: a null text has no words; null doc_ids and repeated rows are judged like any other; own
 columns live in one struct, so columns of the input cannot clash; an empty table gives none.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -30,6 +32,12 @@ COMMON_WORDS = {
 SYMBOLS = r"[#*$%&|<>]+"
 CLASSES = (r"[a-z]+", r"[A-Z]+", SYMBOLS, r"[0-9]+", r"""[.,;:!?'"()-]+""", r"\p{L}+")
 LETTER_RUN = "[^a-zß-öø-ÿ]+"
+#: Letter runs of languages without fixed common words; combining marks belong to them.
+ANY_LETTER_RUN = r"[^\p{L}\p{M}]+"
+#: So many references are broadcast (about 250 bytes each); more are joined by shuffle.
+BROADCAST_REFERENCES = 10_000
+#: Share of the judged documents without lang that their sum must fit to be a reference.
+LEAST_FITTING = 0.5
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.34, 0.34
@@ -72,46 +80,100 @@ def class_counts(text: Column) -> Column:
     return let(F.regexp_replace(text, common.SPACE, ""), lambda solid: counts(solid, CLASSES, []))
 
 
-def word_counts(text: Column, lang: Column) -> Column:
-    """Letter runs that are the language's k-th common word, and the others; null if unlisted."""
+def listed_lang(lang: Column) -> Column:
+    return lang.isin(*COMMON_WORDS)
+
+
+def runs_of(text: Column, lang: Column) -> Column:
+    """The letter runs of a text, lower-cased; in languages without fixed common words of any script."""
+    low = F.lower(text)
+    return F.array_remove(F.when(listed_lang(lang), F.split(low, LETTER_RUN)).otherwise(F.split(low, ANY_LETTER_RUN)), "")
+
+
+def corpus_words(docs: DataFrame) -> DataFrame | None:
+    """(lang, words, docs): the most frequent letter runs of each language without fixed ones; None if there is none."""
+    others = docs.where(F.col("lang").isNotNull() & ~listed_lang(F.col("lang"))).select("lang", "text")
+    if others.isEmpty():
+        return None
+    n = len(next(iter(COMMON_WORDS.values())))
+    each = others.select("lang", F.explode(runs_of(common.text_or_empty(), F.col("lang"))).alias("word"))
+    counts = each.groupBy("lang", "word").agg(F.count("*").alias("times"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "word"))
+    words = counts.withColumn("place", first).where(F.col("place") <= n).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word")))["word"].alias("words"))
+    rows = others.groupBy("lang").agg(F.count("*").alias("docs"))
+    return common.stored(rows.join(words, "lang", "left").select("lang", F.coalesce("words", F.array().cast("array<string>")).alias("words"), "docs"), "op6-words")
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows LEFT JOIN facts on key: broadcast only if counted small, else with hot keys dealt out."""
+    if facts.count() <= BROADCAST_REFERENCES:
+        return rows.join(F.broadcast(facts.drop(count)), key, "left")
+    return common.join_on_hot_key(rows, facts, key, count, F.coalesce("doc_id", F.lit(0)))
+
+
+def word_counts(text: Column, lang: Column, derived: Column) -> Column:
+    """Letter runs that are the language's k-th common word, and the others; null without common words."""
     listed = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     every = sorted({w for v in COMMON_WORDS.values() for w in v})
     n = len(next(iter(COMMON_WORDS.values())))
 
-    def counted(runs: Column) -> Column:
-        def of(hits: Column) -> Column:
-            each = [F.size(hits) - F.size(F.array_remove(hits, F.element_at(F.element_at(listed, lang), k + 1))) for k in range(n)]
-            return let(F.array(*each), lambda e: F.concat(e, F.array(F.size(runs) - F.aggregate(e, F.lit(0), lambda a, x: a + x))))
+    def counted(words: Column, hits_of) -> Column:
+        def of(runs: Column) -> Column:
+            def split(hits: Column) -> Column:
+                each = [F.size(hits) - F.size(F.array_remove(hits, F.coalesce(F.get(words, F.lit(k)), F.lit("")))) for k in range(n)]
+                return let(F.array(*each), lambda e: F.concat(e, F.array(F.size(runs) - F.aggregate(e, F.lit(0), lambda a, x: a + x))))
 
-        return let(F.filter(runs, lambda w: w.isin(every)), of)
+            return let(hits_of(runs), split)
 
-    runs = F.array_remove(F.split(F.lower(text), LETTER_RUN), "")
-    return F.when(lang.isin(*COMMON_WORDS), let(runs, counted))
+        return of
 
+    runs = runs_of(text, lang)
+    fixed = let(runs, counted(F.element_at(listed, lang), lambda r: F.filter(r, lambda w: w.isin(every))))
+    own = let(runs, counted(derived, lambda r: F.filter(r, lambda w: F.array_contains(derived, w))))
+    return F.when(listed_lang(lang), fixed).when(F.size(derived) > 0, own)
 
-def histograms(docs: DataFrame) -> DataFrame:
+
+def histograms(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """docs with a struct `_q` of the profile and both histograms."""
     text = common.text_or_empty()
-    profile = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("*"))
-    own = F.struct(profile.alias("profile"), class_counts(text).cast("array<long>").alias("chars"), word_counts(text, F.col("lang")).cast("array<long>").alias("common"))
-    return docs.select("*", own.alias("_q"))
-
-
-def measured(docs: DataFrame) -> DataFrame:
+    own = docs.columns
+    profile = F.when(F.col("lang").isNotNull(), F.concat(F.lit("="), "lang")).otherwise(F.lit("*"))
+    if words is not None:
+        docs = with_facts(docs.withColumn("_lang", F.col("lang")), words.select(F.col("lang").alias("_lang"), F.col("words").alias("_words"), "docs"), "_lang", "docs")
+        common_words = word_counts(text, F.col("lang"), F.col("_words"))
+    else:
+        common_words = word_counts(text, F.col("lang"), F.lit(None).cast("array<string>"))
+    found = F.struct(profile.alias("profile"), class_counts(text).cast("array<long>").alias("chars"), common_words.cast("array<long>").alias("common"))
+    return docs.select(*own, found.alias("_q"))
+
+
+def measured(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """docs with a struct `_q` of base counts and histograms."""
     text = common.text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = common.words_of(text)
     base = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
     twice = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-    return histograms(docs).withColumn("_q", F.struct("_q.*", base.alias("words"), twice.alias("n_dup_lines")))
+    return histograms(docs, corpus).withColumn("_q", F.struct("_q.*", base.alias("words"), twice.alias("n_dup_lines")))
 
 
 def references(found: DataFrame) -> DataFrame:
     """One row a profile with the summed histograms of all its documents."""
     n_words = len(next(iter(COMMON_WORDS.values()))) + 1
     total = lambda name, n: F.array(*[F.coalesce(F.sum(F.col(f"_q.{name}")[i]), F.lit(0)) for i in range(n)])
-    return found.groupBy(F.col("_q.profile").alias("_profile")).agg(total("chars", len(CLASSES) + 1).alias("_chars"), total("common", n_words).alias("_common"))
+    sums = [total("chars", len(CLASSES) + 1).alias("_chars"), total("common", n_words).alias("_common"), F.count("*").alias("_docs")]
+    return found.groupBy(F.col("_q.profile").alias("_profile")).agg(*sums)
+
+
+def coherent(refs: DataFrame, found: DataFrame) -> DataFrame:
+    """refs without the one of documents that have no lang, where it does not fit most of them."""
+    pool = refs.where("_profile = '*'")
+    if pool.isEmpty():
+        return refs
+    chars = F.col("_q.chars")
+    apart = found.where(F.col("_q.profile") == "*").where(total_of(chars) >= LEAST_CHARS).crossJoin(F.broadcast(pool.select("_chars")))
+    fits = apart.agg(F.avg((distance(chars, F.col("_chars")) <= MOST_CHAR_DISTANCE).cast("int"))).first()[0]
+    return refs if fits is None or fits > LEAST_FITTING else refs.where("_profile <> '*'")
 
 
 def total_of(counts: Column) -> Column:
@@ -135,25 +197,29 @@ def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds to `_q` the distances (null: not judged), base_failed and kept."""
     n_words, repeated = F.col("_q.words.n_words"), F.col("_q.words.n_repeat_words")
     chars, own = F.col("_q.chars"), F.col("_q.common")
-    with_refs = found.join(F.broadcast(refs), F.col("_q.profile") == F.col("_profile"), "left")
-    by_char = F.when(total_of(chars) >= LEAST_CHARS, distance(chars, F.col("_chars")))
+    columns = [c for c in found.columns if c != "_q"]
+    with_refs = with_facts(found.withColumn("_profile", F.col("_q.profile")), refs, "_profile", "_docs")
+    by_char = F.when(F.col("_chars").isNotNull() & (total_of(chars) >= LEAST_CHARS), distance(chars, F.col("_chars")))
     by_word = F.when(own.isNotNull() & (total_of(own) >= LEAST_RUNS), distance(own, F.col("_common")))
     failed = (n_words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n_words)
     scored = with_refs.withColumn("_q", F.col("_q").withField("char_distance", by_char).withField("word_distance", by_word).withField("base_failed", failed))
     fits = (F.coalesce(F.col("_q.char_distance"), F.lit(0.0)) <= MOST_CHAR_DISTANCE) & (F.coalesce(F.col("_q.word_distance"), F.lit(0.0)) <= MOST_WORD_DISTANCE)
-    return scored.withColumn("_q", F.col("_q").withField("kept", ~F.col("_q.base_failed") & fits)).drop("_profile", "_chars", "_common")
+    return scored.withColumn("_q", F.col("_q").withField("kept", ~F.col("_q.base_failed") & fits)).select(*columns, "_q")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns; the references come from all of docs."""
-    refs = common.stored(references(histograms(docs)), "op6-references")
-    return judged(measured(docs), refs).where("_q.kept").select(*docs.columns)
+    words = corpus_words(docs)
+    found = histograms(docs, words)
+    refs = common.stored(coherent(common.stored(references(found), "op6-references"), found), "op6-fitting")
+    return judged(measured(docs, words), refs).where("_q.kept").select(*docs.columns)
 
 
 def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(sf_dir, "documents", spark).select("doc_id", "text", "lang")
-    found = common.stored(measured(docs).select("doc_id", "_q"), "op6-counts")
-    return judged(found, references(found)).select(
+    found = common.stored(measured(docs, corpus_words(docs)).select("doc_id", "_q"), "op6-counts")
+    refs = coherent(common.stored(references(found), "op6-references"), found)
+    return judged(found, refs).select(
         "doc_id",
         "_q.words.n_words",
         total_of(F.col("_q.chars")).alias("word_chars"),

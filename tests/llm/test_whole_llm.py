@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarnfold.llm import ppm, warc
+from tarnfold.llm import divergence, ppm, warc
 
 
 def test_warc_keeps_pages_with_long_urls(spark):
@@ -39,3 +39,18 @@ def test_languages_of_long_documents_are_learned(spark, monkeypatch):
     docs = spark.createDataFrame([*long, *mixed, (60, None, "en"), (61, "the house " * 9, "en")], "doc_id long, text string, lang string")
     got = ppm.identify(docs.where("text is not null"), ppm.fit(docs, 3), ["lang"]).collect()
     assert len(got) == 40 and all(r.lang == r.lang_pred for r in got)
+
+
+def test_languages_without_fixed_words_are_judged_by_their_own(spark, monkeypatch):
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 8))) for _ in range(40)] for k, a in (("fi", "aeiklnostu"), ("ru", "абвгдежиклмнопрст"))}
+    weights = [1 / (i + 1) for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words[k], weights, k=150)), k) for i, k in enumerate(["fi", "ru"] * 30)]
+    # rare words only: the characters are right, the common words are not
+    rows.append((100, " ".join(rng.choices(words["fi"][20:], k=150)), "fi"))
+    nulls = [(200 + i, t, None) for i, t, _ in rows[:20]]
+    docs = spark.createDataFrame(rows + nulls, "doc_id long, text string, lang string")
+    kept = sorted(r.doc_id for r in divergence.keep_good(docs).collect())
+    assert kept == [*range(60), *range(200, 220)]
+    monkeypatch.setattr(divergence, "BROADCAST_REFERENCES", 0)
+    assert sorted(r.doc_id for r in divergence.keep_good(docs).collect()) == kept
