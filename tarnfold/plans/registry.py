@@ -367,27 +367,42 @@ def slugs(spark, d):
 
 
 def sources(spark, d) -> DataFrame:
-    """Python and Markdown files made from documents: a class with two methods, a function; three headings and a fence."""
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "[^A-Za-z ]", "").alias("s"))
+    """Python and Markdown files made from documents: a class with two methods, a function; three headings and a fence.
+
+    The whole text is the docstring, with escapes, and quoted line by line in a section: it adds no symbols of its own.
+    """
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("s"))
     n = F.col("doc_id").cast("string")
+    escaped = F.replace(F.regexp_replace("s", r'(["\\\\])', r"\\$1"), F.lit("\0"), F.lit("\\x00"))
+    quoted = F.concat(F.lit("> "), F.regexp_replace("s", f"({X.LINE_END})", "$1> "))
     code = F.concat(
-        F.lit('"""'), F.col("s"), F.lit('"""\nimport os as o, re\nfrom .base import Thing as T\n\n\nclass Box'), n,
+        F.lit('"""'), escaped, F.lit('"""\nimport os as o, re\nfrom .base import Thing as T\n\n\nclass Box'), n,
         F.lit(':\n    """A box.\n\n    More."""\n\n    @property\n    def sizeOf(self):\n        def inner():\n            return 1\n        return inner()\n\n    async def openLid(self):\n        return None\n\n\ndef run_'), n, F.lit("(x):\n    return x\n"),
     )
-    marks = F.concat(F.lit("intro\n# Part "), n, F.lit("\ntext\n```\n# not a heading\n```\n### Deep\nmore\n### Deeper\n"), F.col("s"), F.lit("\n## End ##\nlast\n"))
-    py = docs.select(F.concat(F.lit("pkg/mod_"), n, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
-    md = docs.select(F.concat(F.lit("docs/page_"), n, F.lit(".md")).alias("file_path"), F.lit("markdown").alias("language"), marks.alias("content"))
-    return py.unionByName(md)
+    marks = F.concat(F.lit("intro\n# Part "), n, F.lit("\ntext\n```\n# not a heading\n```\n### Deep\nmore\n### Deeper\n"), quoted, F.lit("\n## End ##\nlast\n"))
+    return as_files(docs, "pkg/mod_", code, "docs/page_", marks)
+
+
+def as_files(docs: DataFrame, py: str, code, md: str, marks) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    one = docs.select(F.concat(F.lit(py), n, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
+    return one.unionByName(docs.select(F.concat(F.lit(md), n, F.lit(".md")).alias("file_path"), F.lit("markdown").alias("language"), marks.alias("content")))
+
+
+def with_raw(spark, d) -> DataFrame:
+    """sources, and each text as it is: Python that seldom parses, Markdown with what headings and fences it has, empty files."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("s"))
+    return sources(spark, d).unionByName(as_files(docs, "raw/text_", F.col("s"), "raw/text_", F.col("s")))
 
 
 @query
 def parse_symbols(spark, d):
-    return parsing.symbols(sources(spark, d)).withColumn("imports", F.array_join("imports", "; "))
+    return parsing.symbols(with_raw(spark, d)).withColumn("imports", F.array_join("imports", "; "))
 
 
 def _strategy(name: str):
     def run(spark, d):
-        own = sources(spark, d)
+        own = with_raw(spark, d)
         found = chunking.by_symbols(parsing.symbols(own), name)
         return chunking.with_ids(chunking.cut_text(found, own)).select("point_id", "citation", "symbol_type", "symbol_name", "class_name", F.md5("embed_text").alias("embed_md5"))
 

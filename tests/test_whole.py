@@ -1,8 +1,12 @@
 """Nothing is cut: recall, query sets and texts beyond the old limits."""
 
+import ast
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from tarnfold.operators import ann, retrieval
+from tarnfold.operators import ann, parsing, retrieval
+from tarnfold.plans import registry
 
 
 def vectors_of(spark, n, seed):
@@ -25,3 +29,16 @@ def test_exact_search_takes_more_queries_than_a_block(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 30)
     assert found() == want and len(want) == 300
+
+
+def test_source_files_hold_whole_texts(spark, tmp_path):
+    texts = ["word " * 5000 + "the end", 'a "quoted" \\ """text\\', "# head\n```\n# in\n~~~\n## more", "", "nul \0 1 é\n日本"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    files = {r.file_path: r.content for r in registry.with_raw(spark, f"file://{tmp_path}").collect()}
+    for i, t in enumerate(texts):
+        assert ast.literal_eval(ast.parse(files[f"pkg/mod_{i}.py"]).body[0].value) == t
+        assert files[f"docs/page_{i}.md"].split("### Deeper\n")[1].removesuffix("\n## End ##\nlast\n") == "> " + t.replace("\n", "\n> ")
+        assert files[f"raw/text_{i}.py"] == files[f"raw/text_{i}.md"] == t
+    n = parsing.symbols(registry.sources(spark, f"file://{tmp_path}")).groupBy("symbol_type").count()
+    assert dict(map(tuple, n.collect())) == {"module": 10, "class": 5, "method": 10, "function": 5, "section": 20}
+    assert registry.parse_symbols(spark, f"file://{tmp_path}").where(F.col("docstring").endswith("the end")).count() == 1
