@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarnfold.llm import divergence, ppm, warc
+from pyspark.sql import functions as F
+
+from tarnfold.llm import divergence, ppm, toxicity, warc
 
 
 def test_warc_keeps_pages_with_long_urls(spark):
@@ -54,3 +56,17 @@ def test_languages_without_fixed_words_are_judged_by_their_own(spark, monkeypatc
     assert kept == [*range(60), *range(200, 220)]
     monkeypatch.setattr(divergence, "BROADCAST_REFERENCES", 0)
     assert sorted(r.doc_id for r in divergence.keep_good(docs).collect()) == kept
+
+
+def test_toxicity_learns_from_labels_with_long_documents(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 300)
+    monkeypatch.setattr(toxicity, "PER_LABEL", 30)
+    words = ["house", "water", "thing", "stone", "road"]
+    # all toxic documents are long; most of the others too, so that the first by hash are
+    rows = [(i, " ".join(rng.choices(words, k=80 if i % 3 else 20)) + (" idiot" * 60 if i % 4 == 0 else ""), "en") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")), 20)
+    assert net is not None
+    got = toxicity.scored(docs, net, ["doc_id"]).collect()
+    assert sum((r.score >= toxicity.CUT) == (r.doc_id % 4 == 0) for r in got) >= 228
