@@ -35,16 +35,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each component; documents without doc_id stay unless linked."""
+    """Keeps the document with the least doc_id of each component, one without doc_id only where none has one."""
+    times = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1)
+    if not times.isEmpty():
+        return near_duplicates_by_key(docs)
     found = common.stored(jaccard_join.components_of(docs, NEAR_WORDS, NEAR_PERCENT), "near")
     gone = common.stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
-    kept = common.by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
-    # repeated rows share doc_id; their number is known from the ids alone
-    twice = common.stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-twice")
-    if twice.isEmpty():
-        return kept
-    once = common.by_ids(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return common.by_ids(kept, twice, "doc_id", "left_anti").unionByName(once.select(*docs.columns))
+    return common.by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_duplicates_by_key(docs: DataFrame) -> DataFrame:
+    """The same where doc_ids are null or repeated: a row is known by a hash of doc_id and text, and of equal rows one stays."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = jaccard_join.components_of(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    found = common.stored(found.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "near")
+    rows = common.stored(keyed.groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")), "near-keys")
+    members = common.stored(found.join(rows.select("_key", "doc_id"), "_key"), "near-members")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key")
+    firsts = members.groupBy("component_id").agg(F.min(order)["_key"].alias("first"), F.count("*").alias("members"))
+    known = common.join_on_hot_key(members, firsts.where("members > 1"), "component_id", "members", F.col("_key"))
+    gone = common.stored(known.where("_key <> first").select("_key"), "near-gone")
+    kept = common.by_ids(keyed, gone, "_key", "left_anti")
+    twice = common.stored(rows.where("n > 1").select("_key"), "near-twice")
+    once = common.by_ids(kept, twice, "_key", "left_semi").dropDuplicates(["_key"])
+    return common.by_ids(kept, twice, "_key", "left_anti").unionByName(once.select(*kept.columns)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

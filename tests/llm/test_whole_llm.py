@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tarnfold.llm import divergence, ppm, toxicity, warc
 
 
@@ -70,3 +71,14 @@ def test_toxicity_learns_from_labels_with_long_documents(spark, monkeypatch):
     assert net is not None
     got = toxicity.scored(docs, net, ["doc_id"]).collect()
     assert sum((r.score >= toxicity.CUT) == (r.doc_id % 4 == 0) for r in got) >= 228
+
+
+def test_near_duplicates_by_row(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (None, a + " end"), (None, b), (None, b), (None, b + " end"), (5, a + " more"), (5, c), (7, c), (7, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(x for x in got if x[0] is not None) == [(1, a), (5, c)]
+    assert len(got) == 3 and [t[:2] for i, t in got if i is None] == ["b0"]
+    plain = spark.createDataFrame([(1, a), (2, a + " end"), (3, b)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, plain, "").collect()) == [1, 3]
