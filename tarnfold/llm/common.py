@@ -19,6 +19,8 @@ HOT_SHARE = 0.001
 ROWS_PER_SALT = 20_000
 #: Rows of an Arrow batch where the session has Spark's default: texts are long.
 ARROW_ROWS, ARROW_DEFAULT = 1_000, "10000"
+#: Bytes of texts that are Python objects at once, unless a single text is longer.
+SLICE_BYTES = 8_000_000
 #: A set of ids up to this many rows is broadcast (16 bytes each); a larger one is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -97,10 +99,17 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 
 
 def slices(batches, rows: int = 500):
-    """Arrow batches in smaller pieces, so few texts at once are Python objects."""
+    """Arrow batches in smaller pieces, so few texts at once are Python objects; pieces of over SLICE_BYTES hold one row."""
+    waiting = []
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        waiting.append(batch)
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows <= 1 or (part.num_rows <= rows and part.nbytes <= SLICE_BYTES):
+                yield part
+                continue
+            step = min(rows, (part.num_rows + 1) // 2)
+            waiting += [part.slice(at, step) for at in reversed(range(0, part.num_rows, step))]
 
 
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
