@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+# Names of chunk strategies and of LLM providers.
 STRATEGIES = ("file", "class", "function", "fixed")
 PROVIDERS = ("ollama", "openai_compatible", "extractive")
 # Extensions that are indexed, with their language.
@@ -23,13 +24,13 @@ class Config:
     strategy: str = "function"
     chunk_lines: int = 60
     chunk_overlap: int = 10
-    max_file_bytes: int = 500_000
+    max_file_bytes: int = 512 * 1024
     top_k: int = 5
     depth: int = 20
     fusion_weight: float = 0.7
     rrf_constant: int = 60
-    mmr_lambda: float = 0.5
-    per_file_cap: int = 2
+    mmr_lambda: float = 0.7
+    per_file_cap: int = 0
     extract_blocks: int = 3
     provider: str = "extractive"
     confident: float = 0.30

@@ -1,4 +1,4 @@
-"""Chunks of files: line windows and symbols, with enriched text, ids and hashes."""
+"""Chunks of files: line windows and symbols, with enriched text, ids and hashes. All of a file stays in its row until its chunks are cut."""
 
 from __future__ import annotations
 
@@ -7,60 +7,65 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from .evaluation import at_fraction
+from . import parsing
 
 WANTED = {"file": ("module",), "class": ("class", "function", "section"), "function": ("function", "method", "section")}
 
 
-def windows(files: DataFrame, lines: int, overlap: int) -> DataFrame:
-    """files (file_path, language, content) -> windows of lines; blank ones are left out, the last one reaches the end."""
-    step = lines - overlap
-    cut = files.withColumn("_lines", X.lines_of(F.col("content"))).withColumn("_n", F.size("_lines"))
-    last = F.greatest(F.lit(0), F.ceil((F.col("_n") - lines) / step) * step).cast("int")
-    starts = cut.where("_n > 0").withColumn("_start", F.explode(F.sequence(F.lit(0), last, F.lit(step))))
-    own = F.slice("_lines", F.col("_start") + 1, lines)
-    return (
-        starts.withColumn("text", F.array_join(own, "\n"))
-        .where(F.col("text").rlike(r"(?U)\S"))
-        .select(
-            "file_path",
-            "language",
-            F.lit("fixed").alias("strategy"),
-            F.lit("window").alias("symbol_type"),
-            F.concat(F.lit("L"), F.col("_start") + 1).alias("symbol_name"),
-            F.lit("").alias("class_name"),
-            (F.col("_start") + 1).alias("start_line"),
-            F.least(F.col("_start") + lines, F.col("_n")).alias("end_line"),
-            F.lit("").alias("docstring"),
-            "text",
-        )
-    )
+COLUMNS = ("strategy", "symbol_type", "symbol_name", "class_name", "start_line", "end_line", "docstring", "text")
+
+
+def part(lines: Column, strategy: str, kind, name, owner, start: Column, end: Column, doc) -> Column:
+    """One chunk as a struct of COLUMNS; its text are the lines from start to end."""
+    text = F.array_join(F.slice(lines, start, end - start + 1), "\n")
+    return F.struct(*(x.alias(n) for n, x in zip(COLUMNS, (F.lit(strategy), kind, name, owner, start, end, doc, text), strict=True)))
+
+
+def window_parts(lines: Column, size: int, overlap: int) -> Column:
+    """Windows of `size` lines as an array; blank ones are left out, the last one reaches the end."""
+    step, n = size - overlap, F.size(lines)
+    last = F.greatest(F.lit(0), F.ceil((n - size) / step) * step).cast("int")
+    nothing = F.lit("")
+
+    def window(start: Column) -> Column:
+        name = F.concat(F.lit("L"), start + 1)
+        return part(lines, "fixed", F.lit("window"), name, nothing, start + 1, F.least(start + size, n), nothing)
 
+    starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(starts, window), lambda w: w["text"].rlike(r"(?U)\S"))
 
-def by_symbols(symbols: DataFrame, strategy: str) -> DataFrame:
-    """Symbols that a strategy makes chunks of; a file without any gives its module.
 
-    symbols (file_path, symbol_type, symbol_name, class_name, ...). Under `function` a class counts if no
-    method of the file names it. One window over the file's symbols, no join.
+def symbol_parts(lines: Column, symbols: Column, strategy: str) -> Column:
+    """The symbols that a strategy makes chunks of, as an array; a file without any gives its module.
+
+    Under `function` a class counts if no method of the file names it.
     """
-    if strategy not in WANTED:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    of_file = Window.partitionBy("file_path")
-    wanted = F.col("symbol_type").isin(*WANTED[strategy])
+    wanted = lambda s: s["symbol_type"].isin(*WANTED[strategy])
     if strategy == "function":
-        covered = F.collect_set(F.when(F.col("symbol_type") == "method", F.col("class_name"))).over(of_file)
-        symbols = symbols.withColumn("_covered", covered)
-        wanted = wanted | ((F.col("symbol_type") == "class") & ~F.array_contains("_covered", F.col("symbol_name")))
-    marked = symbols.withColumn("_wanted", wanted).withColumn("_any", F.max("_wanted").over(of_file))
-    kept = marked.where(F.col("_wanted") | (~F.col("_any") & (F.col("symbol_type") == "module")))
-    return kept.drop("_wanted", "_any", "_covered").withColumn("strategy", F.lit(strategy))
+        owners = F.transform(F.filter(symbols, lambda s: s["symbol_type"] == "method"), lambda s: s["class_name"])
+        wanted = lambda s: s["symbol_type"].isin(*WANTED[strategy]) | ((s["symbol_type"] == "class") & ~F.array_contains(owners, s["symbol_name"]))
+    kept = X.let(F.filter(symbols, wanted), lambda k: F.when(F.size(k) > 0, k).otherwise(F.filter(symbols, lambda s: s["symbol_type"] == "module")))
+    return F.transform(kept, lambda s: part(lines, strategy, s["symbol_type"], s["symbol_name"], s["class_name"], s["start_line"], s["end_line"], s["docstring"]))
+
+
+def chunks(files: DataFrame, strategies: tuple[str, ...] = ("function",), size: int = 60, overlap: int = 10) -> DataFrame:
+    """files (file_path, language, content) -> chunks of each strategy, from one parse and without a shuffle."""
+    if unknown := set(strategies) - {*WANTED, "fixed"}:
+        raise ValueError(f"unknown strategies {sorted(unknown)}")
+    parsed = parsing.with_symbols(files) if set(strategies) & set(WANTED) else files
+    cut = parsed.withColumn("_lines", X.lines_of(F.col("content")))
+    parts = [window_parts(F.col("_lines"), size, overlap) if s == "fixed" else symbol_parts(F.col("_lines"), F.col("symbols"), s) for s in strategies]
+    found = cut.select("file_path", "language", F.explode(F.concat(*parts)).alias("c"))
+    return found.select("file_path", "language", *(f"c.{n}" for n in COLUMNS))
 
 
-def cut_text(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """symbols with their lines as text."""
-    lines = files.select("file_path", X.lines_of(F.col("content")).alias("_lines"))
-    body = F.array_join(F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return symbols.join(lines, "file_path").withColumn("text", body).drop("_lines")
+def windows(files: DataFrame, size: int, overlap: int) -> DataFrame:
+    return chunks(files, ("fixed",), size, overlap)
+
+
+def snippet(content: Column, lines: int) -> Column:
+    """The first lines of a text."""
+    return F.array_join(F.slice(X.lines_of(content), 1, lines), "\n")
 
 
 def enriched() -> Column:
@@ -102,5 +107,3 @@ def token_stats(counts: DataFrame, by: str, most: int = 256) -> DataFrame:
         F.sum(F.when(F.col("n") > most, F.col("times")).otherwise(0)).alias("truncated"),
     )
 
-
-__all__ = ["at_fraction", "by_symbols", "cut_text", "enriched", "token_stats", "windows", "with_ids"]

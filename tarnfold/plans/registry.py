@@ -369,17 +369,16 @@ def slugs(spark, d):
 def sources(spark, d) -> DataFrame:
     """Python and Markdown files made from documents: a class with two methods, a function; three headings and a fence.
 
-    The whole text is the docstring, with escapes, and quoted line by line in a section: it adds no symbols of its own.
+    The whole text is a constant, with escapes, and quoted line by line in a section: it adds no symbols of its own.
     """
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("s"))
     n = F.col("doc_id").cast("string")
     escaped = F.replace(F.regexp_replace("s", r'(["\\\\])', r"\\$1"), F.lit("\0"), F.lit("\\x00"))
     quoted = F.concat(F.lit("> "), F.regexp_replace("s", f"({X.LINE_END})", "$1> "))
-    code = F.concat(
-        F.lit('"""'), escaped, F.lit('"""\nimport os as o, re\nfrom .base import Thing as T\n\n\nclass Box'), n,
-        F.lit(':\n    """A box.\n\n    More."""\n\n    @property\n    def sizeOf(self):\n        def inner():\n            return 1\n        return inner()\n\n    async def openLid(self):\n        return None\n\n\ndef run_'), n, F.lit("(x):\n    return x\n"),
-    )
-    marks = F.concat(F.lit("intro\n# Part "), n, F.lit("\ntext\n```\n# not a heading\n```\n### Deep\nmore\n### Deeper\n"), quoted, F.lit("\n## End ##\nlast\n"))
+    before, middle, after = sql.CODE
+    rest, _, end = after.partition("{n}")
+    code = F.concat(F.lit(before), escaped, F.lit(middle), n, F.lit(rest), n, F.lit(end))
+    marks = F.concat(F.lit(sql.MARKS[0]), n, F.lit(sql.MARKS[1]), quoted, F.lit(sql.MARKS[2]))
     return as_files(docs, "pkg/mod_", code, "docs/page_", marks)
 
 
@@ -400,17 +399,33 @@ def parse_symbols(spark, d):
     return parsing.symbols(with_raw(spark, d)).withColumn("imports", F.array_join("imports", "; "))
 
 
-def _strategy(name: str):
-    def run(spark, d):
-        own = with_raw(spark, d)
-        found = chunking.by_symbols(parsing.symbols(own), name)
-        return chunking.with_ids(chunking.cut_text(found, own)).select("point_id", "citation", "symbol_type", "symbol_name", "class_name", F.md5("embed_text").alias("embed_md5"))
+def strategy_chunks(spark, d, *names: str) -> DataFrame:
+    return chunking.with_ids(chunking.chunks(with_raw(spark, d), names))
 
-    run.__name__ = f"chunk_{name}"
-    return query(run)
 
+def embedded(chunks: DataFrame, *more: str) -> DataFrame:
+    return chunks.select(*more, "point_id", "citation", "symbol_type", "symbol_name", "class_name", F.md5("embed_text").alias("embed_md5"))
 
-chunk_file, chunk_class, chunk_function = map(_strategy, ("file", "class", "function"))
+
+@query
+def chunk_file(spark, d):
+    return embedded(strategy_chunks(spark, d, "file"))
+
+
+@query
+def chunk_class(spark, d):
+    return embedded(strategy_chunks(spark, d, "class"))
+
+
+@query
+def chunk_function(spark, d):
+    return embedded(strategy_chunks(spark, d, "function"))
+
+
+@query
+def chunk_all(spark, d):
+    """The chunks of three strategies from one parse."""
+    return embedded(strategy_chunks(spark, d, "file", "class", "function"), "strategy")
 
 
 @query
@@ -423,7 +438,7 @@ def count_by_kind(spark, d):
 def context_expand(spark, d):
     own = sources(spark, d)
     found = parsing.symbols(own)
-    hits = chunking.cut_text(found.where("symbol_name = 'sizeOf'"), own).select("file_path", "class_name", "symbol_name", "text")
+    hits = chunking.chunks(own, ("function",)).where("symbol_name = 'sizeOf'").select("file_path", "class_name", "symbol_name", "text")
     out = generation.expanded(hits, found, own)
     return out.select("file_path", "class_signature", F.array_join("imports", "; ").alias("imports"), F.array_join("siblings", ", ").alias("siblings"), F.md5("expanded").alias("expanded_md5"))
 

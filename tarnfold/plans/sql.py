@@ -92,6 +92,14 @@ def knn_eval(k: int, wide: int) -> str:
     return f"WITH {KNN_EVAL}, hits AS (SELECT 'vector' AS retriever, * FROM knn WHERE rank <= {wide}), {metrics(k)}"
 
 
+WINDOW_LINE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+#: Parts of the made Python file before its text, before its number, after it; and of the made Markdown file.
+CODE = (
+    '"""A made module.\n\n    More."""\nimport os as o, re\nfrom .base import Thing as T\nBODY = """',
+    '"""\n\n\nclass Box',
+    ':\n    """A box.\n\n    More."""\n\n    @property\n    def sizeOf(self):\n        def inner():\n            return 1\n        return inner()\n\n    async def openLid(self):\n        return None\n\n\ndef run_{n}(x):\n    return x\n',
+)
+MARKS = ("intro\n# Part ", "\ntext\n```\n# not a heading\n```\n### Deep\nmore\n### Deeper\n", "\n## End ##\nlast\n")
 WINDOWS = """files AS (SELECT coalesce(source, 'none') || '/doc_' || doc_id || '.txt' AS file_path, coalesce(lang, '') AS language, coalesce(text, '') AS content FROM documents),
 cut0 AS (SELECT *, string_split_regex(content, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS l FROM files),
 cut AS (SELECT file_path, language, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM cut0),
@@ -177,12 +185,12 @@ _BLOCKS = f"""lined0 AS (SELECT id, source, text, string_split_regex(text, '\\r\
 lined AS (SELECT id, source || '/doc_' || id || '.txt:1-' || len({_LINES}) AS citation, text, {_LINES} AS l FROM lined0),
 hit AS (SELECT qid, rank, citation, 'doc_' || id AS name, text, l FROM bm JOIN lined USING (id) WHERE rank <= 5)"""
 SQL["context_blocks"] = f"""WITH {TOKENS}, {BM25}, {_BLOCKS}, c AS (SELECT qid, count(*) AS n, string_agg('[' || rank || '] ' || citation || '  (file ' || name || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS t FROM hit GROUP BY 1),
-p AS (SELECT a.qid, coalesce(n, 0)::INT AS blocks, 'Retrieved context:' || chr(10) || chr(10) || coalesce(t, '(no context retrieved)') || chr(10) || chr(10) || 'Question: ' || query AS p FROM asked a LEFT JOIN c USING (qid))
+p AS (SELECT a.qid, coalesce(n, 0)::INT AS blocks, 'Passages' || chr(10) || chr(10) || coalesce(t, '(the search found no passages)') || chr(10) || chr(10) || 'Asked: ' || query AS p FROM asked a LEFT JOIN c USING (qid))
 SELECT qid, blocks, length(p)::INT AS prompt_chars, md5(p) AS prompt_md5 FROM p"""
 SQL["extractive_answer"] = f"""WITH {TOKENS}, {BM25}, {_BLOCKS},
-c AS (SELECT qid, string_agg('[' || rank || '] ' || citation || ' ' || name || chr(10) || array_to_string(l[1:12], chr(10)) || CASE WHEN len(l) > 12 THEN chr(10) || '    ... (' || (len(l) - 12) || ' more lines)' ELSE '' END || chr(10), chr(10) ORDER BY rank) AS t FROM hit WHERE rank <= 3 GROUP BY 1),
-p AS (SELECT a.qid, CASE WHEN t IS NULL THEN 'The available context is insufficient: nothing was retrieved.' ELSE
-  rtrim('No LLM was used. The passages below are the retrieved context, quoted verbatim.' || chr(10) || chr(10) || t, ' ' || chr(10) || chr(13) || chr(9)) END AS x FROM asked a LEFT JOIN c USING (qid))
+c AS (SELECT qid, string_agg('[' || rank || '] ' || citation || ' ' || name || chr(10) || array_to_string(l[1:12], chr(10)) || CASE WHEN len(l) > 12 THEN chr(10) || '[+ ' || (len(l) - 12) || ' lines]' ELSE '' END || chr(10), chr(10) ORDER BY rank) AS t FROM hit WHERE rank <= 3 GROUP BY 1),
+p AS (SELECT a.qid, CASE WHEN t IS NULL THEN 'No passage was found, so the context is insufficient for an answer.' ELSE
+  rtrim('Passages that match the question best (no model has read them):' || chr(10) || chr(10) || t, ' ' || chr(10) || chr(13) || chr(9)) END AS x FROM asked a LEFT JOIN c USING (qid))
 SELECT qid, md5(x) AS answer_md5, contains(lower(x), 'insufficient') OR contains(lower(x), 'not enough context') OR contains(lower(x), 'cannot answer') OR contains(lower(x), 'does not contain') AS abstained FROM p"""
 SQL["citation_check"] = """WITH a AS (SELECT doc_id, doc_id::VARCHAR AS n, source || '/doc_' || doc_id || '.py' AS path FROM documents WHERE source IS NOT NULL)
 SELECT doc_id, path || ':1-9 Doc_' || n || '.py' AS grounded, path || ':2-2' AS drifted, 'lost/file_' || n || '.md:3-4 other.rb' AS invented, CASE doc_id % 3 WHEN 0 THEN '0 7' WHEN 1 THEN '7' ELSE '2 7' END AS bad_refs FROM a"""
@@ -190,3 +198,50 @@ SQL["abstention"] = """SELECT role, count(*) AS turns, sum((contains(lower(coale
 OR contains(lower(coalesce(text, '')), 'does not contain'))::INT)::BIGINT AS abstained FROM conversations GROUP BY 1"""
 SQL["count_by_kind"] = """WITH n AS (SELECT count(*) AS n FROM documents), k AS (SELECT * FROM (VALUES ('python', 'module', 1), ('python', 'class', 1), ('python', 'method', 2), ('python', 'function', 1), ('markdown', 'module', 1), ('markdown', 'section', 4)) v(language, symbol_type, c))
 SELECT language, symbol_type, sum(c * n)::BIGINT AS symbols FROM k, n GROUP BY ROLLUP (language, symbol_type)"""
+_MADE = f"""src AS (SELECT doc_id::VARCHAR AS n, coalesce(text, '') AS s, len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS m FROM documents),
+py AS (SELECT 'pkg/mod_' || n || '.py' AS file_path, 'python' AS language, n, m, 6 + m AS e, {{code}} AS content FROM src),
+md AS (SELECT 'docs/page_' || n || '.md' AS file_path, 'markdown' AS language, n, m, 0 AS e, {{marks}} AS content FROM src),
+raw AS (SELECT 'raw/text_' || n || x AS file_path, k AS language, n, m, 0 AS e, s AS content FROM src, (VALUES ('.py', 'python'), ('.md', 'markdown')) v(x, k)),
+made AS (FROM py UNION ALL FROM md UNION ALL FROM raw),
+lined AS (SELECT *, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS lines FROM (SELECT *, string_split_regex(content, '{WINDOW_LINE}') AS l FROM made)),
+shape AS (SELECT * FROM (VALUES
+  ('pkg', 1, 'class', 'Box', true, 3, 15, '', false, 'A box.' || chr(10) || chr(10) || 'More.'), ('pkg', 2, 'method', 'sizeOf', false, 8, 12, 'Box', true, ''),
+  ('pkg', 3, 'method', 'openLid', false, 14, 15, 'Box', true, ''), ('pkg', 4, 'function', 'run_', true, 18, 19, '', false, ''),
+  ('doc', 1, 'section', 'Part ', true, 2, 6, '', false, ''), ('doc', 2, 'section', 'Deep', false, 7, 8, 'Part ', true, ''),
+  ('doc', 3, 'section', 'Deeper', false, 9, NULL, 'Part ', true, ''), ('doc', 4, 'section', 'End', false, NULL, NULL, 'Part ', true, '')
+) v(folder, position, symbol_type, name, numbered, first, last, owner, owned, docstring)),
+symbols AS (SELECT file_path, language, n, lines, 0 AS position, 'module' AS symbol_type, regexp_extract(file_path, '[^/]+$') AS symbol_name, 1 AS start_line, greatest(len(lines), 1) AS end_line, '' AS class_name,
+  CASE WHEN e > 0 THEN 'A made module.' || chr(10) || chr(10) || 'More.' ELSE '' END AS docstring, CASE WHEN e > 0 THEN 'import o, re; from .base import Thing' ELSE '' END AS imports FROM lined
+  UNION ALL SELECT file_path, language, n, lines, position, symbol_type, name || CASE WHEN numbered THEN n ELSE '' END,
+  CASE WHEN folder = 'pkg' THEN e + first ELSE coalesce(first, 11 + m) END, CASE WHEN folder = 'pkg' THEN e + last WHEN name = 'Deeper' THEN 10 + m ELSE coalesce(last, 12 + m) END,
+  owner || CASE WHEN owned THEN n ELSE '' END || CASE WHEN name = 'Deeper' THEN ' > Deep' ELSE '' END, docstring, '' FROM lined JOIN shape ON starts_with(file_path, folder))"""
+
+
+def _made() -> str:
+    """The made files of the registry; m is the number of line ends in the text, e the line where the constant ends."""
+    lit = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    escaped = "replace(replace(replace(s, '\\', '\\\\'), '\"', '\\\"'), chr(0), '\\x00')"
+    head, middle, tail = CODE
+    code = f"{lit(head)} || {escaped} || {lit(middle)} || n || {lit(tail.partition('{n}')[0])} || n || {lit(tail.partition('{n}')[2])}"
+    marks = f"{lit(MARKS[0])} || n || {lit(MARKS[1])} || '> ' || replace(s, chr(10), chr(10) || '> ') || {lit(MARKS[2])}"
+    return _MADE.replace("{code}", code).replace("{marks}", marks)
+
+
+_KINDS = {"file": "'module'", "class": "'class', 'function', 'section'", "function": "'function', 'method', 'section'"}
+_CHUNK = f"""text AS (SELECT *, array_to_string(lines[start_line:end_line], chr(10)) AS text, file_path || ':' || class_name || ':' || symbol_name || ':' || start_line || ':{{0}}' AS key,
+  CASE WHEN class_name <> '' THEN class_name || '.' ELSE '' END || symbol_name AS qualified, lower(array_to_string({PARTS.format('symbol_name')}, ' ')) AS words FROM kept),
+emb AS (SELECT *, sha1(unhex('{NAMESPACE}') || encode(key)) AS h, array_to_string(list_filter([replace(replace(file_path, '/', ' / '), '_', ' '), language || ' ' || symbol_type || ' ' || qualified, class_name, words, trim(docstring)], lambda x: x <> ''), chr(10)) || chr(10) || chr(10) || text AS embed_text FROM text)"""
+SQL["parse_symbols"] = f"WITH {_made()} SELECT file_path, language, position::INT AS position, symbol_type, symbol_name, start_line::INT AS start_line, end_line::INT AS end_line, class_name, docstring, imports FROM symbols"
+
+
+def _chunks(strategy: str) -> str:
+    return f"""kept AS (SELECT * FROM symbols WHERE symbol_type IN ({_KINDS[strategy]}) OR (symbol_type = 'module' AND starts_with(file_path, 'raw/'))), {_CHUNK.format(strategy)}
+SELECT '{strategy}' AS strategy, {_UUID} AS point_id, file_path || ':' || start_line || '-' || end_line AS citation, symbol_type, symbol_name, class_name, md5(embed_text) AS embed_md5 FROM emb"""
+
+
+for _s in _KINDS:
+    SQL[f"chunk_{_s}"] = f"WITH {_made()}, {_chunks(_s)}".replace(f"SELECT '{_s}' AS strategy, ", "SELECT ")
+SQL["chunk_all"] = f"WITH {_made()} " + " UNION ALL ".join(f"SELECT * FROM (WITH {_chunks(s)})" for s in _KINDS)
+SQL["context_expand"] = f"""WITH {_made()}, x AS (SELECT *, 'class Box' || n || ':' || chr(10) || '    \"\"\"A box.\"\"\"' AS head FROM symbols WHERE symbol_name = 'sizeOf')
+SELECT file_path, head AS class_signature, 'import o, re; from .base import Thing' AS imports, 'openLid' AS siblings,
+md5('import o, re' || chr(10) || 'from .base import Thing' || chr(10) || chr(10) || head || chr(10) || '    # other methods: openLid' || chr(10) || chr(10) || array_to_string(lines[start_line:end_line], chr(10))) AS expanded_md5 FROM x"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LANGUAGES, SKIPPED_ENDINGS, SKIPPED_FILES, SKIPPED_FOLDERS
+from ..config import LANGUAGES, SKIPPED_ENDINGS, SKIPPED_FILES, SKIPPED_FOLDERS, Config
 
 GOLD = "repo string, sha string, note string, queries array<struct<id: string, query: string, kind: string, note: string, gold: array<struct<file: string, symbol: string, grade: int>>>>"
 
@@ -32,7 +32,7 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.where(fine).select("file_path", language(F.col("file_path")).alias("language"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha"))
 
 
-def load_tree(spark: SparkSession, root: str, most_bytes: int = 500_000) -> DataFrame:
+def load_tree(spark: SparkSession, root: str, most_bytes: int = Config.max_file_bytes) -> DataFrame:
     """(file_path, language, content, sha) of a checked-out tree; `length` is tested before contents are read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

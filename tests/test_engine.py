@@ -14,7 +14,7 @@ def one(spark, column, **values):
 
 
 def test_tokens_identifiers_and_ids(spark):
-    assert one(spark, X.lexical_tokens(F.col("t")), t="self._shouldRetry(r2)") == ["self", "should", "retry", "shouldretry", "r", "2", "r2"]
+    assert one(spark, X.lexical_tokens(F.col("t")), t="box.openLid_now(x7)") == ["box", "open", "lid", "now", "openlidnow", "x", "7", "x7"]
     assert one(spark, X.identifier_parts(F.col("t")), t="_aB_HTTPRequest2") == ["a", "B", "HTTP", "Request", "2"]
     assert one(spark, X.uuid5(F.col("t")), t="a:é") == str(uuid.uuid5(uuid.UUID(X.NAMESPACE), "a:é"))
     assert one(spark, X.token_estimate(F.col("t")), t="abcde 12 !") == 4
@@ -45,21 +45,30 @@ CODE = '"""Doc."""\nimport a as b\nfrom .x import y as z\n\n@deco\ndef f():\n
 MARKS = "x\n# A\n```\n# no\n```\n### B\n### C\n## D\n"
 
 
-def test_parsers():
-    got = parsing.python_symbols("p/k.py", CODE)
-    assert [(s["symbol_type"], s["symbol_name"], s["start_line"]) for s in got] == [("module", "k.py", 1), ("function", "f", 5), ("class", "K", 9), ("method", "m", 12), ("method", "n", 13)]
-    assert got[0]["imports"] == ["import b", "from .x import y"]
-    assert len(parsing.python_symbols("k.py", "def (")) == 1 and len(parsing.python_symbols("k.py", "(" * 20000)) == 1
-    assert [(s["symbol_name"], s["class_name"]) for s in parsing.markdown_symbols("r.md", MARKS)[1:]] == [("A", ""), ("B", "A"), ("C", "A > B"), ("D", "A")]
+def test_parsers(spark):
+    rows = [("p/k.py", "python", CODE), ("bad.py", "python", "def ("), ("deep.py", "python", "(" * 20000), ("r.md", "markdown", MARKS), ("x.rb", "ruby", "a\nb"), ("empty.py", "python", "")]
+    found = parsing.symbols(spark.createDataFrame(rows, ["file_path", "language", "content"])).orderBy("position").collect()
+    got = [(s.symbol_type, s.symbol_name, s.start_line, s.end_line) for s in found if s.file_path == "p/k.py"]
+    assert got == [("module", "k.py", 1, 13), ("function", "f", 5, 7), ("class", "K", 9, 13), ("method", "m", 12, 12), ("method", "n", 13, 13)]
+    assert next(s for s in found if s.symbol_name == "k.py").imports == ["import b", "from .x import y"]
+    assert [(s.symbol_name, s.end_line) for s in found if s.file_path in ("bad.py", "deep.py", "x.rb", "empty.py")].count(("empty.py", 1)) == 1
+    assert sum(s.file_path in ("bad.py", "deep.py", "x.rb", "empty.py") for s in found) == 4
+    marks = [(s.symbol_name, s.class_name, s.start_line, s.end_line) for s in found if s.symbol_type == "section"]
+    assert marks == [("A", "", 2, 5), ("B", "A", 6, 6), ("C", "A > B", 7, 7), ("D", "A", 8, 8)]
 
 
 def test_strategies_and_expansion(spark):
     own = spark.createDataFrame([("k.py", "python", CODE), ("c.py", "python", "X = 1\n")], ["file_path", "language", "content"])
     symbols = parsing.symbols(own)
-    names = lambda s: sorted(r.symbol_name for r in chunking.by_symbols(symbols, s).collect())
+    names = lambda s: sorted(r.symbol_name for r in chunking.chunks(own, (s,)).collect())
     assert names("function") == ["c.py", "f", "m", "n"] and names("class") == ["K", "c.py", "f"] and names("file") == ["c.py", "k.py"]
-    hits = chunking.cut_text(symbols.where("symbol_name = 'm'"), own).select("file_path", "class_name", "symbol_name", "text")
+    single = [tuple(r) for s in ("file", "class", "function", "fixed") for r in chunking.chunks(own, (s,)).collect()]
+    assert sorted(single) == sorted(tuple(r) for r in chunking.chunks(own, ("file", "class", "function", "fixed")).collect())
+    with pytest.raises(ValueError):
+        chunking.chunks(own, ("lines",))
+    hits = chunking.chunks(own).where("symbol_name = 'm'").select("file_path", "class_name", "symbol_name", "text")
     assert generation.expanded(hits, symbols, own).first().expanded == 'import b\nfrom .x import y\n\nclass K(B):\n    """Kay."""\n    # other methods: n\n\n    def m(self): pass'
+    assert one(spark, chunking.snippet(F.col("t"), 2), t="a\r\nb\nc") == "a\nb"
 
 
 def test_fusion_mmr_and_cap(spark):

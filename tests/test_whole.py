@@ -36,9 +36,10 @@ def test_source_files_hold_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     files = {r.file_path: r.content for r in registry.with_raw(spark, f"file://{tmp_path}").collect()}
     for i, t in enumerate(texts):
-        assert ast.literal_eval(ast.parse(files[f"pkg/mod_{i}.py"]).body[0].value) == t
+        assert ast.literal_eval(ast.parse(files[f"pkg/mod_{i}.py"]).body[3].value) == t
         assert files[f"docs/page_{i}.md"].split("### Deeper\n")[1].removesuffix("\n## End ##\nlast\n") == "> " + t.replace("\n", "\n> ")
         assert files[f"raw/text_{i}.py"] == files[f"raw/text_{i}.md"] == t
     n = parsing.symbols(registry.sources(spark, f"file://{tmp_path}")).groupBy("symbol_type").count()
     assert dict(map(tuple, n.collect())) == {"module": 10, "class": 5, "method": 10, "function": 5, "section": 20}
-    assert registry.parse_symbols(spark, f"file://{tmp_path}").where(F.col("docstring").endswith("the end")).count() == 1
+    whole = registry.strategy_chunks(spark, f"file://{tmp_path}", "file")
+    assert whole.where(F.col("text").contains("word the end")).count() == 4 and whole.count() == 20
