@@ -9,8 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Arrow batches by size rather than by rows: a worker's memory must not depend on how long texts are.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(4 << 20)
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, so their Python workers can import it."""
+    """Sends this package to the executors, once a context, so their Python workers can import it, and bounds what they get at once."""
+    if spark.conf.get(BATCH).rstrip("b") == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_tarnfold_shipped", False):
         return
