@@ -18,7 +18,7 @@ a multiple of its own size) and by CHUNKS_KEPT, PAIRS_KEPT and STEPS_KEPT answer
 Edge cases: a null text is empty and gives no ids; special tokens written in a text become
 their ids, as the tokenizers library does; repeated rows and null doc_ids are encoded like
 others; texts of any length are encoded whole; other columns of the input play no part, whatever
-their names; the caller's columns may have any names but those of the result.
+their names (of the columns asked for one with a result's name gives way to it).
 """
 
 from __future__ import annotations
@@ -279,6 +279,7 @@ def trie(path: str) -> Trie:
 def encode(docs: DataFrame, path: str, keep: list[str], full: bool = False) -> DataFrame:
     """The columns in `keep` with n_tokens, ids_sha256, decoded_sha256 and, if full, ids (array<int>)."""
     common.ship(docs.sparkSession)
+    keep = [c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")]
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     schema = schema.add("ids", T.ArrayType(T.IntegerType())) if full else schema
 

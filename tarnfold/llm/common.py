@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import session
+from ..session import ship  # noqa: F401
 
 #: The word rule of the contracts: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,26 +17,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 HOT_SHARE = 0.001
 #: Rows of one key that one task may get before the key is salted.
 ROWS_PER_SALT = 20_000
-#: Rows of an Arrow batch where the session has Spark's default: texts are long.
-ARROW_ROWS, ARROW_DEFAULT = 1_000, "10000"
 #: Bytes of texts that are Python objects at once, unless a single text is longer.
 SLICE_BYTES = 8_000_000
-#: A set of ids up to this many rows is broadcast (16 bytes each); a larger one is shuffled.
-BROADCAST_IDS = 1_000_000
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the workers, and has texts go to them in batches of few rows."""
-    session.ship(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, ARROW_DEFAULT) == ARROW_DEFAULT:
-        spark.conf.set(name, str(ARROW_ROWS))
+#: A table up to so many bytes, its rows counted, is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tarnfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
@@ -92,10 +84,25 @@ def join_on_hot_key(rows: DataFrame, facts: DataFrame, key: str, count: str, spr
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
+def small(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """df to be broadcast if its rows, counted, take at most BROADCAST_BYTES; row_bytes is what a row takes at most."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join on a table of distinct ids: broadcast only if its counted size is small."""
-    n = ids.count()
-    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, how)
+    return df.join(small(ids), key, how)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one struct `row`: whatever its columns are called, none can clash with an operator's own."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+
+
+def unpacked(rows: DataFrame, keep: list[str] | None = None) -> list[Column]:
+    """The columns of `row` again, all or those in keep."""
+    names = keep if keep is not None else rows.schema["row"].dataType.names
+    return [F.col(f"row.`{c}`").alias(c) for c in names]
 
 
 def slices(batches, rows: int = 500):

@@ -9,8 +9,8 @@ Guards: histograms of fewer than `least_chars` characters or `least_words` lette
 not judged; documents without lang are held, by characters only, against their own sum, and
 only if it fits most of them.
 
-Edge cases: a null text has no words; null doc_ids and repeated rows are judged like any other; own
-columns live in one struct, so columns of the input cannot clash; an empty table gives none.
+Edge cases: a null text has no words; null doc_ids and repeated rows are judged like any other; texts of any length are judged whole; the
+columns of the input travel in one struct, so no name can clash; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def runs_of(text: Column, lang: Column) -> Column:
 
 def corpus_words(docs: DataFrame) -> DataFrame | None:
     """(lang, words, docs): the most frequent letter runs of each language without fixed ones; None if there is none."""
-    others = docs.where(F.col("lang").isNotNull() & ~listed_lang(F.col("lang"))).select("lang", "text")
+    others = docs.select("lang", "text").where(F.col("lang").isNotNull() & ~listed_lang(F.col("lang")))
     if others.isEmpty():
         return None
     n = len(next(iter(COMMON_WORDS.values())))
@@ -108,7 +108,7 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataF
     """rows LEFT JOIN facts on key: broadcast only if counted small, else with hot keys dealt out."""
     if facts.count() <= BROADCAST_REFERENCES:
         return rows.join(F.broadcast(facts.drop(count)), key, "left")
-    return common.join_on_hot_key(rows, facts, key, count, F.coalesce("doc_id", F.lit(0)))
+    return common.join_on_hot_key(rows, facts, key, count, F.coalesce("row.doc_id", F.lit(0)))
 
 
 def word_counts(text: Column, lang: Column, derived: Column) -> Column:
@@ -133,36 +133,28 @@ def word_counts(text: Column, lang: Column, derived: Column) -> Column:
     return F.when(listed_lang(lang), fixed).when(F.size(derived) > 0, own)
 
 
-def histograms(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """docs with a struct `_q` of the profile and both histograms."""
-    text = common.text_or_empty()
-    own = docs.columns
-    profile = F.when(F.col("lang").isNotNull(), F.concat(F.lit("="), "lang")).otherwise(F.lit("*"))
+def measured(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text, lang, ...) -> (row, q): the struct of its columns; profile, both histograms and base counts."""
+    text, lang = common.text_or_empty("row.text"), F.col("row.lang")
+    rows = common.packed(docs)
+    derived = F.lit(None).cast("array<string>")
     if words is not None:
-        docs = with_facts(docs.withColumn("_lang", F.col("lang")), words.select(F.col("lang").alias("_lang"), F.col("words").alias("_words"), "docs"), "_lang", "docs")
-        common_words = word_counts(text, F.col("lang"), F.col("_words"))
-    else:
-        common_words = word_counts(text, F.col("lang"), F.lit(None).cast("array<string>"))
-    found = F.struct(profile.alias("profile"), class_counts(text).cast("array<long>").alias("chars"), common_words.cast("array<long>").alias("common"))
-    return docs.select(*own, found.alias("_q"))
-
-
-def measured(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """docs with a struct `_q` of base counts and histograms."""
-    text = common.text_or_empty()
+        rows = with_facts(rows.withColumn("lang", lang), words, "lang", "docs")
+        derived = F.col("words")
+    profile = F.when(lang.isNotNull(), F.concat(F.lit("="), lang)).otherwise(F.lit("*"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words = common.words_of(text)
-    base = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
+    base = let(common.words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
     twice = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-    return histograms(docs, corpus).withColumn("_q", F.struct("_q.*", base.alias("words"), twice.alias("n_dup_lines")))
+    found = (profile.alias("profile"), class_counts(text).cast("array<long>").alias("chars"), word_counts(text, lang, derived).cast("array<long>").alias("common"))
+    return rows.select("row", F.struct(*found, base.alias("words"), twice.alias("n_dup_lines")).alias("q"))
 
 
 def references(found: DataFrame) -> DataFrame:
     """One row a profile with the summed histograms of all its documents."""
     n_words = len(next(iter(COMMON_WORDS.values()))) + 1
-    total = lambda name, n: F.array(*[F.coalesce(F.sum(F.col(f"_q.{name}")[i]), F.lit(0)) for i in range(n)])
+    total = lambda name, n: F.array(*[F.coalesce(F.sum(F.col(f"q.{name}")[i]), F.lit(0)) for i in range(n)])
     sums = [total("chars", len(CLASSES) + 1).alias("_chars"), total("common", n_words).alias("_common"), F.count("*").alias("_docs")]
-    return found.groupBy(F.col("_q.profile").alias("_profile")).agg(*sums)
+    return found.groupBy(F.col("q.profile").alias("_profile")).agg(*sums)
 
 
 def coherent(refs: DataFrame, found: DataFrame) -> DataFrame:
@@ -170,8 +162,8 @@ def coherent(refs: DataFrame, found: DataFrame) -> DataFrame:
     pool = refs.where("_profile = '*'")
     if pool.isEmpty():
         return refs
-    chars = F.col("_q.chars")
-    apart = found.where(F.col("_q.profile") == "*").where(total_of(chars) >= LEAST_CHARS).crossJoin(F.broadcast(pool.select("_chars")))
+    chars = F.col("q.chars")
+    apart = found.where(F.col("q.profile") == "*").where(total_of(chars) >= LEAST_CHARS).crossJoin(F.broadcast(pool.select("_chars")))
     fits = apart.agg(F.avg((distance(chars, F.col("_chars")) <= MOST_CHAR_DISTANCE).cast("int"))).first()[0]
     return refs if fits is None or fits > LEAST_FITTING else refs.where("_profile <> '*'")
 
@@ -194,42 +186,45 @@ def distance(counts: Column, reference: Column) -> Column:
 
 
 def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds to `_q` the distances (null: not judged), base_failed and kept."""
-    n_words, repeated = F.col("_q.words.n_words"), F.col("_q.words.n_repeat_words")
-    chars, own = F.col("_q.chars"), F.col("_q.common")
-    columns = [c for c in found.columns if c != "_q"]
-    with_refs = with_facts(found.withColumn("_profile", F.col("_q.profile")), refs, "_profile", "_docs")
+    """Adds to `q` the distances (null: not judged), base_failed and kept."""
+    n_words, repeated = F.col("q.words.n_words"), F.col("q.words.n_repeat_words")
+    chars, own = F.col("q.chars"), F.col("q.common")
+    with_refs = with_facts(found.withColumn("_profile", F.col("q.profile")), refs, "_profile", "_docs")
     by_char = F.when(F.col("_chars").isNotNull() & (total_of(chars) >= LEAST_CHARS), distance(chars, F.col("_chars")))
     by_word = F.when(own.isNotNull() & (total_of(own) >= LEAST_RUNS), distance(own, F.col("_common")))
     failed = (n_words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n_words)
-    scored = with_refs.withColumn("_q", F.col("_q").withField("char_distance", by_char).withField("word_distance", by_word).withField("base_failed", failed))
-    fits = (F.coalesce(F.col("_q.char_distance"), F.lit(0.0)) <= MOST_CHAR_DISTANCE) & (F.coalesce(F.col("_q.word_distance"), F.lit(0.0)) <= MOST_WORD_DISTANCE)
-    return scored.withColumn("_q", F.col("_q").withField("kept", ~F.col("_q.base_failed") & fits)).select(*columns, "_q")
+    scored = with_refs.withColumn("q", F.col("q").withField("char_distance", by_char).withField("word_distance", by_word).withField("base_failed", failed))
+    fits = (F.coalesce(F.col("q.char_distance"), F.lit(0.0)) <= MOST_CHAR_DISTANCE) & (F.coalesce(F.col("q.word_distance"), F.lit(0.0)) <= MOST_WORD_DISTANCE)
+    return scored.withColumn("q", F.col("q").withField("kept", ~F.col("q.base_failed") & fits)).select("row", "q")
+
+
+def judged_all(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang, ...) -> (row, q), held against references of all of docs; what is counted is stored once."""
+    found = common.stored(measured(docs, corpus_words(docs)), "op6-counts")
+    return judged(found, common.stored(coherent(common.stored(references(found), "op6-references"), found), "op6-fitting"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns; the references come from all of docs."""
-    words = corpus_words(docs)
-    found = histograms(docs, words)
-    refs = common.stored(coherent(common.stored(references(found), "op6-references"), found), "op6-fitting")
-    return judged(measured(docs, words), refs).where("_q.kept").select(*docs.columns)
+    """The documents that the rules keep, with their own columns."""
+    found = judged_all(docs).where("q.kept")
+    return found.select(*common.unpacked(found))
 
 
 def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(sf_dir, "documents", spark).select("doc_id", "text", "lang")
-    found = common.stored(measured(docs, corpus_words(docs)).select("doc_id", "_q"), "op6-counts")
+    found = common.stored(measured(docs, corpus_words(docs)).select(F.struct("row.doc_id").alias("row"), "q"), "op6-counts")
     refs = coherent(common.stored(references(found), "op6-references"), found)
     return judged(found, refs).select(
-        "doc_id",
-        "_q.words.n_words",
-        total_of(F.col("_q.chars")).alias("word_chars"),
-        F.col("_q.chars")[CLASSES.index(SYMBOLS)].alias("n_symbols"),
-        "_q.n_dup_lines",
-        "_q.words.n_repeat_words",
-        "_q.base_failed",
-        "_q.kept",
-        F.round("_q.char_distance", 6).alias("char_distance"),
-        F.round("_q.word_distance", 6).alias("word_distance"),
+        "row.doc_id",
+        "q.words.n_words",
+        total_of(F.col("q.chars")).alias("word_chars"),
+        F.col("q.chars")[CLASSES.index(SYMBOLS)].alias("n_symbols"),
+        "q.n_dup_lines",
+        "q.words.n_repeat_words",
+        "q.base_failed",
+        "q.kept",
+        F.round("q.char_distance", 6).alias("char_distance"),
+        F.round("q.word_distance", 6).alias("word_distance"),
     )
 
 

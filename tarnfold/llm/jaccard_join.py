@@ -174,8 +174,8 @@ def placed_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
     """places (doc, ...) with the set of each doc, read again from its text: one shuffle of sets, to where they meet."""
     rest = [c for c in places.columns if c != "doc"]
     spots = common.stored(places.groupBy("doc").agg(F.collect_list(F.struct(*rest)).alias("spots")), "op8-spots")
-    small = places.count() <= common.BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(spots) if small else spots, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "spots")
+    near = F.broadcast(spots) if places.count() * 32 <= common.BROADCAST_BYTES else spots
+    texts = docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "spots")
 
     def run(batches):
         for batch in batches:

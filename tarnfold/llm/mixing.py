@@ -13,8 +13,8 @@ planned on the driver and their plan broadcast; more are an error, not a cut.
 
 Edge cases: null sources are a source of their own; null texts have no tokens; a source
 without tokens is taken once; equal rows are placed apart or, if alike in id and text, side by
-side; null doc_ids are mixed like others; an empty table gives none. Columns of the input
-cannot clash: the plan is joined by columns with a leading underscore.
+side; null doc_ids are mixed like others; an empty table gives none. Texts of any length are counted
+whole. The columns of the input travel in one struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -116,13 +116,13 @@ def planned_copies(docs: DataFrame, budget: int | None = None, most_repeats: flo
 def mixed(docs: DataFrame, most_repeats: float, seed: int = SEED) -> DataFrame:
     """docs with each document as often as the mixture has it, at least once, in its own columns."""
     taken = planned_copies(docs, most_repeats=most_repeats, whole=True)
-    more = taken.where("epoch > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_own")).agg((F.max("epoch") + 1).cast("int").alias("_copies"))
-    more = common.stored(more, "op9-copies")
-    more = F.broadcast(more) if more.count() <= common.BROADCAST_IDS else more
-    own = F.xxhash64(common.text_or_empty())
-    joined = docs.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_own")), "left")
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))))
-    return repeated.select(*docs.columns)
+    more = taken.where("epoch > 0").groupBy("doc_id", F.col("_tie").alias("tie")).agg((F.max("epoch") + 1).cast("int").alias("copies"))
+    more = common.small(common.stored(more, "op9-copies"), 32)
+    rows = common.packed(docs)
+    own = F.xxhash64(common.text_or_empty("row.text"))
+    joined = rows.join(more, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (own == F.col("tie")), "left")
+    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
+    return repeated.select(*common.unpacked(repeated))
 
 
 def op9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,15 @@ language has seen is worked out once, for all languages, and scoring is a table
 byte. The text goes to the language with the shortest code.
 
 The fit learns every lang value, from PER_LANG documents each at most, chosen by a hash of
-doc_id among those of at most MOST_BYTES; a language with fewer than LONG_PER_LANG of these
-takes the shortest of its longer ones, LONG_PER_LANG in all. Languages are learned and scored
-in blocks of LANGS_AT_ONCE: a text goes through the blocks one after another.
+doc_id among those of at most MOST_BYTES, LANG_BYTES in all; a language with fewer than
+LONG_PER_LANG of these takes the shortest of its longer ones, LONG_PER_LANG in all. Languages are
+learned and scored in blocks of LANGS_AT_ONCE: a text goes through the blocks one after another.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; ties go to the
 first language by name; with nothing to learn from all is `und`; null doc_ids and repeated
-rows are scored like others; other columns of the input play no part.
+rows are scored like others; texts of any length are scored whole, in pieces that know the bytes
+before them; other columns of the input play no part, whatever their names (of the columns asked
+for one with a result's name gives way to it).
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql.window import Window
 from . import common
 
 ORDER = 4
-PER_LANG, LONG_PER_LANG, LANGS_AT_ONCE, MOST_BYTES = 250, 5, 64, 50_000
+PER_LANG, LONG_PER_LANG, LANGS_AT_ONCE, MOST_BYTES, LANG_BYTES = 250, 5, 64, 50_000, 1_000_000
 #: Bytes times languages worked on at once.
 CELLS = 4_000_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -170,11 +172,11 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> list[Broadcast]:
     long = F.col("size") > MOST_BYTES
     # short ones by hash, then long ones by size
     order = [long, F.when(long, F.col("size")), F.xxhash64("doc_id"), F.col("doc_id")]
-    placed = labelled.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    chosen = common.stored(placed.where((F.col("place") <= per_lang) & (~long | (F.col("place") <= LONG_PER_LANG))).select("lang", "doc_id", "size"), "op10-chosen")
+    placed = labelled.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= per_lang)
+    within = F.sum("size").over(Window.partitionBy("lang").orderBy("place")) <= LANG_BYTES
+    chosen = common.stored(placed.withColumn("within", within).where((~long & F.col("within")) | (F.col("place") <= LONG_PER_LANG)).select("lang", "doc_id", "size"), "op10-chosen")
     names = [r[0] for r in chosen.select("lang").distinct().orderBy("lang").collect()]
-    # per_lang ids a language: broadcast only if few
-    near = F.broadcast(chosen.distinct()) if len(names) * per_lang <= common.BROADCAST_IDS else chosen.distinct()
+    near = common.small(chosen.distinct(), 64)
     sample = docs.select("lang", "doc_id", size.alias("size"), "text").join(near, ["lang", "doc_id", "size"])
     if len(names) > LANGS_AT_ONCE:
         sample = common.stored(sample, "op10-sample")
@@ -191,31 +193,43 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> list[Broadcast]:
 STATE = "struct<lang: string, bits: double, mass: double>"
 
 
-def identify(docs: DataFrame, models: list[Broadcast], keep: list[str]) -> DataFrame:
-    """The columns in `keep` of each document, with lang_pred, score and bits a byte (null: not scored)."""
+RESULTS = (("lang_pred", "string"), ("score", "double"), ("bits_per_byte", "double"))
+
+
+def identified(docs: DataFrame, models: list[Broadcast]) -> DataFrame:
+    """docs (text, ...) -> (row: the struct of its columns, lang_pred, score, bits_per_byte: null if not scored)."""
     common.ship(docs.sparkSession)
-    found = docs.select(*keep, F.col("text").alias("_text"), F.lit(None).cast(STATE).alias("_best"))
+    found = common.packed(docs).withColumn("best", F.lit(None).cast(STATE))
     for i, held in enumerate(models):
         last = i == len(models) - 1
-        found = scored_by(found, held, keep, last)
+        found = scored_by(found, held, last)
         if not last:
             # a worker holds the model of one block only
             found = common.stored(found, "op10-block")
     return found
 
 
-def scored_by(docs: DataFrame, held: Broadcast, keep: list[str], last: bool) -> DataFrame:
-    """docs (keep, _text, _best) with _best brought up to date; after the last block what identify gives."""
-    schema = docs.select(*keep).schema if last else docs.schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("bits_per_byte", "double")) if last else ():
+def identify(docs: DataFrame, models: list[Broadcast], keep: list[str]) -> DataFrame:
+    """The columns in `keep` of each document, with RESULTS."""
+    names = [n for n, _ in RESULTS]
+    keep = [c for c in keep if c not in names]
+    found = identified(docs.select(*dict.fromkeys([*keep, "text"])), models)
+    return found.select(*common.unpacked(found, keep), *names)
+
+
+def scored_by(rows: DataFrame, held: Broadcast, last: bool) -> DataFrame:
+    """rows (row, best) with best brought up to date; after the last block (row, RESULTS)."""
+    at = rows.schema["row"].dataType.names.index("text")
+    schema = rows.select("row").schema if last else rows.schema
+    for name, kind in RESULTS if last else ():
         schema = schema.add(name, kind)
     state = pa.struct([("lang", pa.string()), ("bits", pa.float64()), ("mass", pa.float64())])
 
     def scored(batches):
         m = held.value
         for batch in common.slices(batches):
-            texts = batch.column(batch.num_columns - 2).to_pylist()
-            best = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(0).field(at).to_pylist()
+            best = batch.column(1).to_pylist()
             fine = [i for i, x in enumerate(texts) if m.langs and has_letter(x)]
             data = [texts[i].encode("utf-8", "replace") for i in fine]
             bits = m.code_lengths(data)
@@ -233,12 +247,12 @@ def scored_by(docs: DataFrame, held: Broadcast, keep: list[str], last: bool) ->
                 langs = [x["lang"] if x else "und" for x in best]
                 score = [1 / x["mass"] if x else 0.0 for x in best]
                 rate = [x["bits"] / len(t.encode("utf-8", "replace")) if x else None for x, t in zip(best, texts, strict=True)]
-                columns = [batch.column(c) for c in range(batch.num_columns - 2)] + [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+                columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
             else:
-                columns = [batch.column(c) for c in range(batch.num_columns - 1)] + [pa.array(best, state)]
+                columns = [batch.column(0), pa.array(best, state)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(scored, schema)
+    return rows.mapInArrow(scored, schema)
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

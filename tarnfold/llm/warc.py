@@ -15,7 +15,8 @@ headers may have any length.
 Edge cases: a null html is an empty payload; a null url has no target header, a null page_id
 no number in its record's id (it reads back as null); rows that share page_id and payload are
 alike (all responses or all revisits); line ends in a url are escaped; an empty table gives
-an empty manifest and no rows.
+an empty manifest and no rows. Urls and payloads may have any length that a cell can. A file that does
+not give back the records that its manifest lists is an error; its gaps are in a table of their own.
 """
 
 from __future__ import annotations
@@ -192,8 +193,8 @@ class Archive:
 
 
 def opened(path: str):
-    fs, inner = pafs.FileSystem.from_uri(path)
-    return fs, inner
+    """Filesystem and path in it; the names by which Hadoop knows S3 are turned into Arrow's."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -281,17 +282,29 @@ def with_leaders(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     groups = ids.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1")
     known = common.join_on_hot_key(ids.select("page_id", "digest"), groups, "digest", "copies", F.coalesce("page_id", F.lit(0)))
     later = common.stored(known.where("page_id < last").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("last").alias("leader")).distinct(), "op3-revisits")
-    later = F.broadcast(later) if later.count() <= common.BROADCAST_IDS else later
+    later = common.small(later, 96)  # two ids and a digest of 40 characters
     on = (F.col("page_id") == F.col("_id")) & (F.sha1(html.cast("binary")) == F.col("_digest"))
     return pages.select("page_id", "url", "html").join(later, on, "left").select("page_id", "url", "html", "leader")
 
 
+def read_checked(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of the archives in a manifest (path, records), both stored; an error if one holds other than its number of records."""
+    spark = manifest.sparkSession
+    paths = manifest.select("path").repartition(max(1, spark.sparkContext.defaultParallelism * 4))
+    found = common.stored(read_archives(paths).drop("payload"), "op3-read")
+    records, gaps = found.where("gap is null"), found.where("gap is not null").select("path", "offset", "length", "gap")
+    counts = records.groupBy("path").agg(F.count("*").alias("found"))
+    wrong = manifest.join(counts, "path", "left").where("records <> coalesce(found, 0)").select("path", "records", "found").limit(5).collect()
+    if wrong:
+        raise ValueError(f"archives without some of their records: {[tuple(r) for r in wrong]}; gaps: {[tuple(r) for r in gaps.limit(5).collect()]}")
+    return records, gaps
+
+
 def op3_salvaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(sf_dir, "pages", spark).select("page_id", "url", "html")
     manifest = write_archives(with_leaders(pages), common.new_path(spark, "op3-warc"))
-    paths = manifest.select("path").repartition(max(1, spark.sparkContext.defaultParallelism * 4))
-    read = read_archives(paths).where("gap is null")
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records, _ = read_checked(manifest)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hx, {5 * g + 1}, 5))::BIGINT >> {s}) & 31)::INT + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
