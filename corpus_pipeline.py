@@ -5,9 +5,9 @@ DataFrame with the columns of documents (the last one: token digests), and works
 that the one before kept. run() writes each stage's result to the shared folder and reads
 it back for the next.
 
-Edge cases: null texts are `und` and go at the first stage; columns beyond those of
-documents are kept until the last stage; of documents with equal doc_id and text one stays;
-an empty table gives an empty result.
+Edge cases: null and empty texts are in no language and go at the first stage; columns beyond those of
+documents, whatever their names, are kept until the last stage; of documents with equal doc_id and text
+one stays; texts of any length go through whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +19,22 @@ from tarnfold.llm import bpe, common, divergence, jaccard_join, mixing, ppm
 
 #: Near duplicates: words of a shingle, percent of the union.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Texts of so many bytes are dropped if their code takes more than so many bits a byte.
+LEAST_JUDGED, MOST_BITS = 8, 10.0
 #: No source is repeated more often than this in the mixture.
 MOST_REPEATS = 1.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: without text or without a letter."""
-    keep = docs.columns
-    return ppm.identify(docs, ppm.fit(docs), keep).where("lang_pred <> 'und'").select(*keep)
+    """Drops documents in no language and writes the language found into `lang`, for the rules to come.
+
+    In no language is a text without a letter, and one of LEAST_JUDGED bytes or more that even the best
+    model codes in more than MOST_BITS bits a byte: without a model a byte takes 8.
+    """
+    found = ppm.identified(docs, ppm.fit(docs))
+    short = F.octet_length("row.text") < LEAST_JUDGED
+    kept = found.where((F.col("lang_pred") != "und") & (short | (F.col("bits_per_byte") <= MOST_BITS)))
+    return kept.withColumn("row", F.col("row").withField("lang", F.col("lang_pred"))).select(*common.unpacked(found))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,19 +54,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates_by_key(docs: DataFrame) -> DataFrame:
     """The same where doc_ids are null or repeated: a row is known by a hash of doc_id and text, and of equal rows one stays."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = jaccard_join.components_of(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
-    found = common.stored(found.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "near")
-    rows = common.stored(keyed.groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")), "near-keys")
-    members = common.stored(found.join(rows.select("_key", "doc_id"), "_key"), "near-members")
-    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key")
-    firsts = members.groupBy("component_id").agg(F.min(order)["_key"].alias("first"), F.count("*").alias("members"))
-    known = common.join_on_hot_key(members, firsts.where("members > 1"), "component_id", "members", F.col("_key"))
-    gone = common.stored(known.where("_key <> first").select("_key"), "near-gone")
-    kept = common.by_ids(keyed, gone, "_key", "left_anti")
-    twice = common.stored(rows.where("n > 1").select("_key"), "near-twice")
-    once = common.by_ids(kept, twice, "_key", "left_semi").dropDuplicates(["_key"])
-    return common.by_ids(kept, twice, "_key", "left_anti").unionByName(once.select(*kept.columns)).select(*docs.columns)
+    keyed = common.packed(docs).withColumn("key", F.xxhash64("row.doc_id", "row.text"))
+    found = jaccard_join.components_of(keyed.select(F.col("key").alias("doc_id"), "row.text"), NEAR_WORDS, NEAR_PERCENT)
+    found = common.stored(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "near")
+    rows = common.stored(keyed.groupBy("key").agg(F.first("row.doc_id").alias("doc_id"), F.count("*").alias("n")), "near-keys")
+    members = common.stored(found.join(rows.select("key", "doc_id"), "key"), "near-members")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    firsts = members.groupBy("component_id").agg(F.min(order)["key"].alias("first"), F.count("*").alias("members"))
+    known = common.join_on_hot_key(members, firsts.where("members > 1"), "component_id", "members", F.col("key"))
+    gone = common.stored(known.where("key <> first").select("key"), "near-gone")
+    kept = common.by_ids(keyed, gone, "key", "left_anti")
+    twice = common.stored(rows.where("n > 1").select("key"), "near-twice")
+    once = common.by_ids(kept, twice, "key", "left_semi").dropDuplicates(["key"])
+    done = common.by_ids(kept, twice, "key", "left_anti").unionByName(once.select(*kept.columns))
+    return done.select(*common.unpacked(done))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
