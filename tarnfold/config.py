@@ -35,6 +35,9 @@ class Config:
     provider: str = "extractive"
     confident: float = 0.30
     embed_dim: int = 64
+    llm_url: str = "http://localhost:11434"
+    llm_model: str = ""
+    llm_key_variable: str = ""
 
     def __post_init__(self):
         if self.strategy not in STRATEGIES:

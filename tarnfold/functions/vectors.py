@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from . import text
 
 
@@ -26,7 +32,30 @@ def hash_cells(docs: DataFrame, key: str, content: str, dim: int) -> DataFrame:
 
 
 def hash_embed(docs: DataFrame, key: str, content: str, dim: int = 64) -> DataFrame:
-    """(key, vector): unit vectors; documents without tokens have none."""
-    cells = hash_cells(docs, key, content, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("cells"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("cells", d), F.lit(0.0)))
-    return cells.select(key, unit(full).alias("vector"))
+    """(key, vector): unit vectors of the same cells, made a row at a time; documents without tokens have none."""
+    from ..operators.retrieval import IDENTIFIER, Kept, names_of
+
+    session.ship(docs.sparkSession)
+
+    def cell(token: str) -> tuple[int, int]:
+        h = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+        return h % dim, 1 if h // dim % 2 == 0 else -1
+
+    def run(batches):
+        of = Kept(lambda name: [cell(t) for t in names_of(name)])
+        for batch in batches:
+            rows, vectors = [], []
+            for row, x in enumerate(batch.column(1).to_pylist()):
+                sums, there = [0] * dim, False
+                for name, n in Counter(IDENTIFIER.findall(x or "")).items():
+                    for at, sign in of[name]:
+                        sums[at] += sign * n
+                        there = True
+                if there:
+                    size = math.sqrt(sum(v * v for v in sums)) or 1.0
+                    rows.append(row)
+                    vectors.append([v / size for v in sums])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(vectors, pa.list_(pa.float64()))], names=[key, "vector"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, content).mapInArrow(run, f"{key} {kind}, vector array<double>")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
-from . import parsing
+from . import evaluation, parsing
 
 WANTED = {"file": ("module",), "class": ("class", "function", "section"), "function": ("function", "method", "section")}
 
@@ -95,15 +95,29 @@ def token_stats(counts: DataFrame, by: str, most: int = 256) -> DataFrame:
 
     The 95th percentile needs the values in order: of each distinct count only its frequency is gathered.
     """
-    per = counts.groupBy(by, "n").agg(F.count("*").alias("times"))
-    upto = F.sum("times").over(Window.partitionBy(by).orderBy("n"))
-    placed = per.withColumn("upto", upto).withColumn("all", F.sum("times").over(Window.partitionBy(by)))
-    place = F.least(F.floor(F.lit(0.95) * F.col("all")), F.col("all") - 1)
-    return placed.groupBy(by).agg(
-        F.sum("times").alias("chunks"),
-        F.round(F.sum(F.col("n") * F.col("times")) / F.sum("times"), 6).alias("mean_tokens"),
-        F.min(F.when(F.col("upto") > place, F.col("n"))).alias("p95_tokens"),
-        F.max("n").alias("max_tokens"),
-        F.sum(F.when(F.col("n") > most, F.col("times")).otherwise(0)).alias("truncated"),
+    return (
+        evaluation.with_places(counts, by, "n")
+        .groupBy(by)
+        .agg(
+            F.sum("times").alias("chunks"),
+            F.round(F.sum(F.col("n") * F.col("times")) / F.sum("times"), 6).alias("mean_tokens"),
+            evaluation.at_fraction("n", 0.95).alias("p95_tokens"),
+            F.max("n").alias("max_tokens"),
+            F.sum(F.when(F.col("n") > most, F.col("times")).otherwise(0)).alias("truncated"),
+        )
     )
 
+
+def token_counts(chunks: DataFrame, encode=None) -> DataFrame:
+    """chunks (embed_text, ...) with n_tokens: by `encode`, a function of a list of texts to a list of counts, or by estimate."""
+    if encode is None:
+        return chunks.withColumn("n_tokens", X.token_estimate(F.col("embed_text")))
+    count = F.pandas_udf(lambda texts: pd.Series(encode(texts.tolist())), "int")
+    return chunks.withColumn("n_tokens", count("embed_text"))
+
+
+def context_cost(hits: DataFrame, counts: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """hits (qid, id, rank), counts (id, n_tokens) -> (k, mean_tokens): what the first k hits of a query cost, on average."""
+    cuts = F.explode(F.array(*map(F.lit, ks)))
+    per = hits.join(counts.select("id", "n_tokens"), "id").withColumn("k", cuts).where("rank <= k").groupBy("k", "qid").agg(F.sum("n_tokens").alias("tokens"))
+    return per.groupBy("k").agg(F.round(F.avg("tokens"), 6).alias("mean_tokens"))

@@ -10,7 +10,8 @@ from .retrieval import ranked
 
 
 def min_max(hits: DataFrame, name: str) -> DataFrame:
-    """Scores scaled to 0..1 within a query; 1 where all are equal."""
+    """Scores scaled to 0..1 within a query; 1 where all are equal. Of an id that a list has twice the last one counts."""
+    hits = hits.groupBy("qid", "id").agg(F.max_by("score", "rank").alias("score"))
     all_of = Window.partitionBy("qid")
     low, high = F.min("score").over(all_of), F.max("score").over(all_of)
     return hits.select("qid", "id", F.when(high == low, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low)).alias(name))
@@ -30,6 +31,7 @@ def weighted(vector: DataFrame, keyword: DataFrame, weight: float, k: int) -> Da
 
 
 def reciprocal_rank(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
+    """Sum of 1 / (constant + rank) over the lists; an id that a list has twice counts twice."""
     union = lists[0].select("qid", "id", "rank")
     for x in lists[1:]:
         union = union.unionByName(x.select("qid", "id", "rank"))

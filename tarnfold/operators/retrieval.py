@@ -2,124 +2,223 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import islice
+import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .. import session
+from .. import session, storage
 from ..functions import text
+from . import blocks
+from .blocks import CELLS, TermBlock, best_rows, in_blocks, matrix_of, ranked
 
-#: Queries that are collected and broadcast at once; a larger set goes through the base in several blocks.
-MOST_QUERIES = 50_000
-#: Products of queries and base vectors that a worker holds at once.
-CELLS = 4_000_000
+#: Names, runs of letters and digits, and their answers that a worker keeps.
+NAMES_KEPT = 200_000
+IDENTIFIER, PART, RUN = re.compile(text.IDENTIFIER), re.compile(text.IDENTIFIER_PART), re.compile("[a-z0-9]+")
 
 
-def ranked(scored: DataFrame, k: int, item: str, by: Column | None = None) -> DataFrame:
-    """scored (qid, item, score) -> with rank 1 to k by descending score (to 8 places, so that sums in another order tie alike), then item."""
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 8)) if by is None else by, item)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def exact_knn(base: DataFrame, queries: DataFrame, k: int, match: str | None = None) -> DataFrame:
+def exact_knn(base: DataFrame, queries: DataFrame, k: int, match: str | None = None, free: bool = False) -> DataFrame:
     """base (id, vector[, match]) and queries (qid, vector[, match]) -> (qid, id, score, rank).
 
-    Queries travel to the base in blocks of MOST_QUERIES: each batch of base vectors is
-    multiplied with all of a block and only its own k best a query go on, so the shuffle
-    holds k rows a query and batch. `match` names a column that must be equal (filtered before
-    the choice, so k is filled up).
+    `match` names a column that must be equal (filtered before the choice, so k is filled up); with `free` a query with null
+    there takes all. Rows without a vector are left out.
     """
-    asked = queries.select("qid", "vector", *([match] if match else []))
-    spark = base.sparkSession
-    session.ship(spark)
-    schema = f"qid long, id {base.schema['id'].dataType.simpleString()}, score double"
-    first = asked.limit(MOST_QUERIES + 1).collect()
-    # a large set is fetched partition by partition, so the driver holds one of them and one block
-    blocks = in_blocks(asked.toLocalIterator(), MOST_QUERIES) if len(first) > MOST_QUERIES else [first] if first else []
-    found = [best_of_block(base, rows, k, match, schema) for rows in blocks]
-    if not found:
-        return spark.createDataFrame([], schema + ", rank int")
-    return ranked(reduce(DataFrame.unionByName, found), k, "id")
+    more = [match] if match else []
+
+    def prepared(rows: list[Row]):
+        wanted = {}
+        codes = [wanted.setdefault(r[2], len(wanted)) if r[2] is not None else -1 for r in rows] if match else None
+        return np.array([r[1] for r in rows], np.float64), wanted, codes and np.array(codes)
+
+    def scored(held, batch):
+        q, wanted, codes = held
+        v = matrix_of(batch.column(1))
+        own = np.array([wanted.get(x, -2) for x in batch.column(2).to_pylist()]) if codes is not None else None
+        step = max(1, CELLS // len(v))
+        for at in range(0, len(q), step):
+            scores = q[at : at + step] @ v.T
+            if own is not None:
+                asked = codes[at : at + step, None]
+                scores[(asked != own) & ((asked >= 0) | (not free))] = -np.inf
+            yield at, None, scores
+
+    return best_rows(base.select("id", "vector", *more).where("vector is not null"), queries.select("qid", "vector", *more).where("vector is not null"), k, prepared, scored)
+
+
+def names_of(name: str) -> list[str]:
+    """The lexical tokens of one identifier or number: its parts, and the joined form if there are several."""
+    parts = [x.lower() for x in PART.findall(name)]
+    return [*parts, "".join(parts)] if len(parts) > 1 else parts
 
 
-def in_blocks(rows, most: int):
-    rows = iter(rows)
-    while block := list(islice(rows, most)):
-        yield block
+class Kept(dict):
+    """Answers to `make` by key; emptied when NAMES_KEPT are there."""
 
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-def best_of_block(base: DataFrame, rows: list, k: int, match: str | None, schema: str) -> DataFrame:
-    """k best of each batch of base for each of the queries in rows."""
-    held = base.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), [r[2] for r in rows] if match else None))
+    def __missing__(self, key):
+        if len(self) >= NAMES_KEPT:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
 
-    def best(batches):
-        qids, q, wanted = held.value
+
+def term_weights(stats: DataFrame, n: int) -> DataFrame:
+    """(term, df, idf): ln(n - df + .5) - ln(df + .5); negative ones become a quarter of the mean over all terms."""
+    raw = stats.where("term <> ''").select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    floor = raw.agg(0.25 * F.avg("raw")).first()[0]
+    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
+
+
+def term_stats(docs: DataFrame) -> DataFrame:
+    """docs (text) -> (term, df, times, most): documents with the term, its occurrences, the most in one document.
+
+    The term '' has the number of documents and of all tokens. Counts are summed in each task first.
+    """
+    session.ship(docs.sparkSession)
+
+    def packed(found: dict[str, list[int]]) -> pa.RecordBatch:
+        df, times, most = zip(*found.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(x, pa.int64()) for x in (df, times, most))], names=["term", "df", "times", "most"])
+
+    def run(batches):
+        names, found, total = Kept(names_of), {}, [0, 0, 0]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.array(batch.column(0).to_pylist())
-            v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            own = batch.column(2).to_pylist() if wanted is not None else None
-            step = max(1, CELLS // len(v))
-            for at in range(0, len(qids), step):
-                scores = q[at : at + step] @ v.T
-                if wanted is not None:
-                    for i, w in enumerate(wanted[at : at + step]):
-                        scores[i, [x != w or w is None for x in own]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores.round(8)), axis=1)[:, :k]
-                out = [(qids[at + i], ids[j].item(), float(scores[i, j])) for i in range(len(scores)) for j in order[i] if scores[i, j] > -np.inf]
-                a, b, c = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, batch.column(0).type), pa.array(c, pa.float64())], names=["qid", "id", "score"])
-
-    return base.select("id", "vector", *([match] if match else [])).mapInArrow(best, schema)
-
-
-def postings(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, term, tf)."""
-    return docs.select(key, F.explode(text.lexical_tokens(F.col(content))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def term_weights(terms: DataFrame, key: str, n_docs: DataFrame) -> DataFrame:
-    """(term, df, idf): ln(N - df + .5) - ln(df + .5); negative ones become a quarter of the mean over all terms."""
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg((0.25 * F.avg("raw")).alias("floor"))
-    return raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+            for x in batch.column(0).to_pylist():
+                tf: dict[str, int] = {}
+                for name, n in Counter(IDENTIFIER.findall(x or "")).items():
+                    for t in names[name]:
+                        tf[t] = tf.get(t, 0) + n
+                for t, n in tf.items():
+                    own = found.get(t)
+                    if own is None:
+                        found[t] = [1, n, n]
+                    else:
+                        own[0] += 1
+                        own[1] += n
+                        own[2] = max(own[2], n)
+                total[0] += 1
+                total[1] += sum(tf.values())
+            if len(found) >= NAMES_KEPT:
+                yield packed(found)
+                found = {}
+        yield packed(found | {"": total})
+
+    found = docs.select("text").mapInArrow(run, "term string, df long, times long, most long")
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("times").alias("times"), F.max("most").alias("most"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """docs (id, text), queries (qid, query) -> (qid, id, score, rank); scores not above 0 are dropped after the cut."""
-    terms = postings(docs, "id", "text")
-    n = docs.agg(F.count("*").alias("n"))
-    lengths = terms.groupBy("id").agg(F.sum("tf").alias("dl"))
-    mean = lengths.agg(F.sum("dl").alias("total")).crossJoin(n).select((F.col("total") / F.col("n")).alias("avgdl"))
+    """docs (id, text), queries (qid, query) -> (qid, id, score, rank); scores not above 0 are dropped.
+
+    Texts are read twice: for the frequencies of terms, and to score each document against the weights of the asked ones.
+    """
+    stats = storage.stored(term_stats(docs), "bm25-terms")
+    total = stats.where("term = ''").agg(F.sum("df"), F.sum("times")).first()
+    n, mean = total[0] or 0, (total[1] or 0) / (total[0] or 1)
+    weights = term_weights(stats, n)
     asked = queries.select("qid", F.explode(text.lexical_tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    weights = term_weights(terms, "id", n)
-    hits = asked.join(weights, "term").join(terms, "term").join(lengths, "id").crossJoin(F.broadcast(mean))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "id").agg(F.sum(part).alias("score"))
-    return ranked(scored, k, "id").where(F.col("score") > 0)
+    weighed = asked.join(weights, "term").groupBy("qid").agg(F.collect_list(F.struct("term", F.col("times") * F.col("idf"))).alias("terms"))
+
+    def scored(block: TermBlock, batch):
+        if block.known is None:
+            block.known = Kept(lambda name: [block.index.get(t) for t in names_of(name)])
+        of, rows, terms, values = block.known, [], [], []
+        for row, x in enumerate(batch.column(1).to_pylist()):
+            found, size, tf = Counter(IDENTIFIER.findall(x or "")), 0, Counter()
+            for name, times in found.items():
+                own = of[name]
+                size += times * len(own)
+                for i in own:
+                    if i is not None:
+                        tf[i] += times
+            for i, times in tf.items():
+                rows.append(row)
+                terms.append(i)
+                values.append(times * (k1 + 1) / (times + k1 * (1 - b + b * size / mean)))
+        yield from block.scores(rows, terms, values)
+
+    return best_rows(docs.select("id", "text"), weighed, k, lambda rows: TermBlock([[tuple(t) for t in r.terms] for r in rows], [1.0] * len(rows)), scored)
 
 
 def grep(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Share of a query's terms of over two characters that occur in the text, case aside."""
+    """Share of a query's terms of over two characters that occur in the text, case aside.
+
+    Terms hold letters and digits only, so one occurs in a text if it does in one of the text's runs of these; each run is
+    looked up once.
+    """
     terms = queries.select("qid", F.filter(text.lexical_tokens(F.col("query")), lambda t: F.length(t) > 2).alias("terms")).where("size(terms) > 0")
-    low = docs.select("id", F.lower("text").alias("low"))
-    found = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    pairs = low.crossJoin(F.broadcast(terms)).select("qid", "id", (found / F.size("terms")).alias("score"))
-    return ranked(pairs.where("score > 0"), k, "id")
+
+    def scored(held, batch):
+        block, lengths = held
+        if block.known is None:
+            block.known = Kept(lambda run: {i for n in lengths for at in range(len(run) - n + 1) if (i := block.index.get(run[at : at + n])) is not None})
+        of, rows, found = block.known, [], []
+        for row, x in enumerate(batch.column(1).to_pylist()):
+            own = set().union(*(of[run] for run in set(RUN.findall((x or "").lower()))))
+            rows += [row] * len(own)
+            found += own
+        yield from block.scores(rows, found, [1.0] * len(rows))
+
+    def prepared(rows: list[Row]):
+        block = TermBlock([list(Counter(r.terms).items()) for r in rows], [len(r.terms) for r in rows])
+        return block, sorted({len(t) for t in block.index})
+
+    return best_rows(docs.select("id", "text"), terms, k, prepared, scored)
 
 
 def random_ranking(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """k documents a query, by a hash of the query's text and the document; score 0."""
-    pairs = docs.select("id").crossJoin(F.broadcast(queries.select("qid", "query")))
-    place = F.sha2(F.concat(F.col("query"), F.lit("|"), F.col("id").cast("string")), 256)
-    return ranked(pairs.select("qid", "id", F.lit(0.0).alias("score"), place.alias("place")), k, "id", F.col("place")).drop("place")
+    """k documents a query, by a hash of the query's text and the document (its first 52 bits, an exact double); score 0."""
+
+    def scored(held, batch):
+        ids = [str(x).encode() for x in batch.column(0).to_pylist()]
+        for q, begun in enumerate(held):
+            place = np.empty(len(ids))
+            for j, x in enumerate(ids):
+                h = hashlib.sha256(begun + x)
+                place[j] = -(int.from_bytes(h.digest()[:8], "big") >> 12)
+            yield q, None, place[None, :]
+
+    found = best_rows(docs.select("id"), queries.select("qid", "query"), k, lambda rows: [f"{r.query}|".encode() for r in rows], scored)
+    return found.withColumn("score", F.lit(0.0))
+
+
+def contained(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """docs (id, text), queries (qid, query) -> (qid, id) where the text has the whole query.
+
+    A word inside a query, with white space on both sides, is a word of each text that has the query: only texts with
+    its longest inner word are searched. Queries without one are searched for in all texts.
+    """
+    spark = docs.sparkSession
+    session.ship(spark)
+    schema = f"qid long, id {docs.schema['id'].dataType.simpleString()}"
+    out = None
+    for rows in in_blocks(queries.select("qid", "query").where("query is not null").toLocalIterator(), blocks.MOST_QUERIES):
+        by_word: dict[str | None, list] = {}
+        for r in rows:
+            by_word.setdefault(max(r.query.split()[1:-1], key=len, default=None), []).append((r.qid, r.query))
+        held = spark.sparkContext.broadcast(by_word)
+
+        def run(batches, held=held):
+            by_word = held.value
+            always = by_word.get(None, [])
+            for batch in batches:
+                ids, found = batch.column(0), []
+                for row, x in enumerate(batch.column(1).to_pylist()):
+                    near = [q for w in by_word.keys() & set(x.split()) for q in by_word[w]] if x is not None else []
+                    found += [(qid, row) for qid, query in (near + always if x is not None else near) if query in x]
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.int64()), ids.take(pa.array([r for _, r in found], pa.int64()))], names=["qid", "id"])
+
+        part = docs.select("id", "text").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def overlap_score(query: Column, content: Column) -> Column:
@@ -134,6 +233,12 @@ def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, score=o
     return ranked(pairs.select("qid", "id", score(F.col("query"), F.col("text")).alias("score")), k, "id")
 
 
+def rerank_enriched(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, score=overlap_score) -> DataFrame:
+    """The same on docs' `embed_text`; the hits keep the scores that they came with."""
+    placed = rerank(hits, queries, docs.select("id", F.col("embed_text").alias("text")), k, score)
+    return placed.select("qid", "id", "rank").join(hits.select("qid", "id", "score"), ["qid", "id"])
+
+
 def per_key_cap(hits: DataFrame, key: str, cap: int, k: int) -> DataFrame:
     """At most `cap` hits of a key in rank order (0: no cap), ranked anew, k of them."""
     if cap > 0:

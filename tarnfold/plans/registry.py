@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
+from ..config import Config
 from ..functions import text as X
 from ..functions import vectors
-from ..operators import ann, chunking, evaluation, fusion, generation, parsing, retrieval
+from ..operators import ann, chunking, evaluation, fusion, generation, llms, parsing, retrieval, search
 from ..sources import collection, files
 from . import sql
 
@@ -82,11 +84,21 @@ def knn_per_label_cap(spark, d):
 
 
 def vector_hits(spark, d, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(names, hits, labels): a stored vector of the query's label has grade 1."""
-    hits = neighbours(spark, d, k).withColumn("retriever", F.lit("vector"))
+    """(names, hits with their grade, labels a query): a stored vector of the query's label has grade 1.
+
+    Labels are compared at the hits and counted for the ideal, so no pairs are made.
+    """
     asked = asked_vectors(spark, d).select("qid", "label")
-    labels = stored_vectors(spark, d).select("id", "label").join(F.broadcast(asked), "label").where("id <> qid").select("qid", "id", F.lit(1).alias("grade"))
-    return asked.select(F.lit("vector").alias("retriever"), "qid"), hits, labels
+    labels = stored_vectors(spark, d).select("id", F.col("label").alias("other"))
+    hits = neighbours(spark, d, k).join(labels, "id").join(asked, "qid")
+    hits = hits.select(F.lit("vector").alias("retriever"), "qid", "id", "rank", "score", F.coalesce((F.col("other") == F.col("label")).cast("int"), F.lit(0)).alias("grade"))
+    sizes = stored_vectors(spark, d).groupBy("label").agg((F.count("*") - 1).alias("n_labels"))
+    return asked.select(F.lit("vector").alias("retriever"), "qid"), hits, asked.join(sizes, "label").select("qid", "n_labels")
+
+
+def vector_scores(spark, d, wide: int, k: int) -> DataFrame:
+    names, hits, counts = vector_hits(spark, d, wide)
+    return evaluation.scores_of(names, hits, evaluation.ideals_of_counts(counts, k), k)
 
 
 def six(df: DataFrame, *names: str) -> DataFrame:
@@ -95,41 +107,40 @@ def six(df: DataFrame, *names: str) -> DataFrame:
 
 @query
 def knn_eval_metrics(spark, d):
-    scores = evaluation.query_scores(*vector_hits(spark, d, 10), 5)
+    scores = vector_scores(spark, d, 10, 5).withColumn("good_ranks", F.array_join(F.transform("good_ranks", lambda r: r.cast("string")), " "))
     return six(scores, "recall", "precision", "rr", "ndcg", "top_score").drop("retriever")
 
 
 @query
 def knn_metrics_by_label(spark, d):
-    scores = evaluation.query_scores(*vector_hits(spark, d, 10), 5).join(asked_vectors(spark, d).select("qid", "label"), "qid")
+    scores = vector_scores(spark, d, 10, 5).join(asked_vectors(spark, d).select("qid", "label"), "qid")
     return scores.rollup("label").agg(F.count("*").alias("queries"), F.round(F.avg("hit_1"), 6).alias("hit_1"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
 @query
 def knn_k_sweep(spark, d):
-    names, hits, labels = vector_hits(spark, d, 20)
-    hits = hits.persist()
-    each = [evaluation.summary(evaluation.query_scores(names, hits, labels, k), 0.3).withColumn("k", F.lit(k)) for k in (1, 3, 5, 10, 20)]
+    names, hits, counts = vector_hits(spark, d, 20)
+    hits = storage.stored(hits, "k-sweep")
+    each = [evaluation.summary(evaluation.scores_of(names, hits, evaluation.ideals_of_counts(counts, k), k), 0.3).withColumn("k", F.lit(k)) for k in (1, 3, 5, 10, 20)]
     return reduce(DataFrame.unionByName, each).select("k", "queries", "hit_k", "recall", "mrr", "ndcg")
 
 
 @query
 def knn_threshold_sweep(spark, d):
-    names, hits, labels = vector_hits(spark, d, 5)
-    cuts = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)], "threshold double")
-    found = evaluation.graded(hits, labels).crossJoin(F.broadcast(cuts)).where(F.round("score", 8) >= F.col("threshold"))
+    names, hits, _ = vector_hits(spark, d, 5)
+    cuts = F.explode(F.array(*map(F.lit, (0.0, 0.1, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)))).alias("threshold")
+    found = hits.select("*", cuts).where(F.round("score", 8) >= F.col("threshold"))
     per = found.groupBy("threshold", "qid").agg(F.max((F.col("grade") > 0).cast("int")).alias("hit"), F.count("*").alias("kept"))
-    every = names.select("qid").crossJoin(F.broadcast(cuts)).join(per, ["threshold", "qid"], "left")
+    every = names.select("qid", cuts).join(per, ["threshold", "qid"], "left")
     return every.groupBy("threshold").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_kept"), F.round(F.avg(F.col("kept").isNull().cast("int")), 6).alias("abstained"), F.sum(F.coalesce("kept", F.lit(0))).alias("hits_kept"))
 
 
 @query
 def knn_score_distribution(spark, d):
-    _, hits, labels = vector_hits(spark, d, 5)
-    values = F.sort_array(F.collect_list(F.round("score", 6)))  # hits of a stated query set
-    per = evaluation.graded(hits, labels).groupBy((F.col("grade") > 0).alias("relevant")).agg(values.alias("v"))
-    at = lambda f: evaluation.at_fraction(F.col("v"), f)
-    return per.select("relevant", F.size("v").cast("long").alias("n"), F.col("v")[0].alias("least"), at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), F.element_at("v", -1).alias("most"))
+    _, hits, _ = vector_hits(spark, d, 5)
+    placed = evaluation.with_places(hits.select((F.col("grade") > 0).alias("relevant"), F.round("score", 6).alias("v")), "relevant", "v")
+    at = lambda f: evaluation.at_fraction("v", f)
+    return placed.groupBy("relevant").agg(F.sum("times").alias("n"), F.min("v").alias("least"), at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), F.max("v").alias("most"))
 
 
 @query
@@ -149,6 +160,14 @@ def ann_recall(spark, d):
     return ann.recall(found, neighbours(spark, d, 10), 10)
 
 
+@query
+def ann_sweep(spark, d):
+    """Recall of the exact 10 nearest, the query itself among them, by number of lists and share looked into."""
+    base, asked = stored_vectors(spark, d), asked_vectors(spark, d)
+    exact = storage.stored(retrieval.exact_knn(base, asked, 10), "exact")
+    return ann.sweep(base, asked, exact, 10, (8, 16, 64), (0.05, 0.1, 0.25, 0.5, 1.0))
+
+
 @query
 def int8_topk(spark, d):
     return shown(others(ann.int8_topk(stored_vectors(spark, d), asked_vectors(spark, d), 11), 10))
@@ -173,14 +192,13 @@ def vector_search(spark, d, k: int) -> DataFrame:
 
 @query
 def tokenize_postings(spark, d):
-    terms = retrieval.postings(corpus(spark, d), "id", "text")
-    return terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"), F.max("tf").alias("most"))
+    return retrieval.term_stats(corpus(spark, d)).where("term <> ''")
 
 
 @query
 def term_idf(spark, d):
     docs = corpus(spark, d)
-    weights = retrieval.term_weights(retrieval.postings(docs, "id", "text"), "id", docs.agg(F.count("*").alias("n")))
+    weights = retrieval.term_weights(retrieval.term_stats(docs), docs.count())
     return weights.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -260,10 +278,9 @@ def rrf_rerank_topk(spark, d):
 
 
 def gold(spark, d) -> DataFrame:
-    """(qid, id, grade): documents that contain the passage. The passages are a stated set and broadcast."""
+    """(qid, id, grade): documents that contain the passage."""
     quality = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
-    asked = F.broadcast(questions(spark, d))
-    found = corpus(spark, d).join(asked, F.contains(F.col("text"), F.col("query"))).select("qid", "id")
+    found = retrieval.contained(corpus(spark, d), questions(spark, d))
     return found.join(quality, "id", "left").select("qid", "id", F.when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
 
 
@@ -289,7 +306,7 @@ def arms(spark, d, wanted=RETRIEVERS, k: int = 5, depth: int = 20) -> dict[str,
     if unknown:
         raise ValueError(f"unknown retrievers {sorted(unknown)}")
     docs, asked = corpus(spark, d), questions(spark, d)
-    wide, words = vector_search(spark, d, depth).persist(), retrieval.bm25(docs, asked, depth).persist()
+    wide, words = storage.stored(vector_search(spark, d, depth), "arm-vector"), storage.stored(retrieval.bm25(docs, asked, depth), "arm-words")
     cut = lambda hits: hits.where(F.col("rank") <= k)
     made = {
         "random": lambda: retrieval.random_ranking(docs, asked, k),
@@ -309,7 +326,7 @@ def arms(spark, d, wanted=RETRIEVERS, k: int = 5, depth: int = 20) -> dict[str,
 def compared(spark, d, wanted) -> DataFrame:
     hits = reduce(DataFrame.unionByName, [h.withColumn("retriever", F.lit(n)) for n, h in arms(spark, d, wanted).items()])
     names = questions(spark, d).select("qid").crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in wanted], "retriever string")))
-    return evaluation.summary(evaluation.query_scores(names, hits, gold(spark, d).persist(), 5), 0.3, "retriever")
+    return evaluation.summary(evaluation.query_scores(names, hits, storage.stored(gold(spark, d), "gold"), 5), 0.3, "retriever")
 
 
 @query
@@ -322,6 +339,64 @@ def retriever_comparison_mmr(spark, d):
     return compared(spark, d, ["vector_mmr"])
 
 
+# -- search as one call ------------------------------------------------------------------
+
+
+def points(spark, d) -> DataFrame:
+    """Documents as points of a collection: source and script as directory and type."""
+    docs = corpus(spark, d)
+    kind = F.when(F.col("id") % 3 == 0, "section").otherwise("module")
+    rows = docs.select("id", "text", F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("directory"), kind.alias("symbol_type"))
+    return rows.join(vectors.hash_embed(docs, "id", "text"), "id")
+
+
+@query
+def search_filtered(spark, d):
+    """The AND of three filters comes before the choice of neighbours."""
+    return shown(search.search(points(spark, d), questions(spark, d), language="en", symbol_type="module", directory="src3"))
+
+
+@query
+def search_filtered_rerank(spark, d):
+    return shown(search.search(points(spark, d), questions(spark, d), language="en", rerank=retrieval.overlap_score))
+
+
+def oracle_language(spark, d) -> DataFrame:
+    """questions with the language of their first gold document that is there; null without one."""
+    labels = gold(spark, d).select("qid", F.col("id").alias("file"), F.col("id").alias("position"))
+    files_of = corpus(spark, d).select(F.col("id").alias("file"), F.coalesce("lang", F.lit("")).alias("language"))
+    return questions(spark, d).join(search.first_language(labels, files_of), "qid", "left")
+
+
+@query
+def search_oracle_language(spark, d):
+    return shown(search.search(points(spark, d), oracle_language(spark, d), match="language"))
+
+
+@query
+def filter_comparison(spark, d):
+    """The search with and without the language of the first gold document as a filter."""
+    own, asked, labels = points(spark, d), storage.stored(oracle_language(spark, d), "oracle"), storage.stored(gold(spark, d), "gold")
+    runs = {"none": search.search(own, asked), "oracle_language": search.search(own, asked, match="language")}
+    hits = reduce(DataFrame.unionByName, [h.withColumn("retriever", F.lit(n)) for n, h in runs.items()])
+    names = asked.select("qid", F.explode(F.array(*map(F.lit, runs))).alias("retriever"))
+    return evaluation.summary(evaluation.query_scores(names, hits, labels, 5), 0.3, "retriever")
+
+
+@query
+def rerank_enriched_topk(spark, d):
+    """Reranked on a text with a header; the scores are those of the search."""
+    docs = corpus(spark, d).select("id", F.concat_ws(" ", "lang", "source", F.lit("\n\n"), "text").alias("embed_text"))
+    return shown(retrieval.rerank_enriched(vector_search(spark, d, 20), questions(spark, d), docs, 5))
+
+
+@query
+def context_cost(spark, d):
+    """Estimated tokens of the first k hits of BM25, over the questions that have hits."""
+    counts = chunking.token_counts(corpus(spark, d).withColumnRenamed("text", "embed_text"))
+    return chunking.context_cost(retrieval.bm25(corpus(spark, d), questions(spark, d), 20), counts, (1, 3, 5, 10, 20))
+
+
 # -- chunks ------------------------------------------------------------------------------
 
 
@@ -428,6 +503,31 @@ def chunk_all(spark, d):
     return embedded(strategy_chunks(spark, d, "file", "class", "function"), "strategy")
 
 
+@query
+def strategy_comparison(spark, d):
+    """Token statistics of each strategy's chunks, from one parse."""
+    counts = chunking.token_counts(strategy_chunks(spark, d, "file", "class", "function")).select("strategy", F.col("n_tokens").alias("n"))
+    return chunking.token_stats(counts, "strategy")
+
+
+@query
+def label_grades(spark, d):
+    """Labels by file, by name and by qualified name against the symbols of the made files."""
+    found = parsing.symbols(sources(spark, d)).where("language = 'python'")
+    hits = found.select(F.regexp_extract("file_path", "([0-9]+)", 1).cast("long").alias("qid"), "file_path", "symbol_name", X.qualified_name(F.col("class_name"), F.col("symbol_name")).alias("qualified"))
+    files_of = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.concat(F.lit("pkg/mod_"), "doc_id", F.lit(".py")).alias("file"))
+    named = F.when(F.col("qid") % 3 == 0, F.lit("openLid")).when(F.col("qid") % 3 == 1, F.concat(F.lit("Box"), "qid", F.lit(".sizeOf")))
+    labels = files_of.select("qid", "file", named.alias("symbol"), F.lit(2).alias("grade")).unionByName(files_of.select("qid", "file", F.lit("lost").alias("symbol"), F.lit(1).alias("grade")))
+    return search.grades(hits, labels).select("file_path", "symbol_name", "grade")
+
+
+@query
+def label_index(spark, d):
+    """All names by which a label can mean a symbol of the made files."""
+    found = parsing.symbols(sources(spark, d)).where("language = 'python'")
+    return search.name_index(found.withColumn("qualified", X.qualified_name(F.col("class_name"), F.col("symbol_name"))))
+
+
 @query
 def count_by_kind(spark, d):
     """Symbols by language and kind, with totals."""
@@ -493,9 +593,19 @@ def answer_blocks(spark, d) -> DataFrame:
 
 @query
 def context_blocks(spark, d):
-    both = questions(spark, d).join(answer_blocks(spark, d), "qid", "left")
-    text = generation.prompt(F.col("query"), F.coalesce("blocks", F.array().cast(answer_blocks(spark, d).schema["blocks"].dataType)))
-    return both.select("qid", F.coalesce(F.size("blocks"), F.lit(0)).alias("blocks"), F.length(text).alias("prompt_chars"), F.md5(text).alias("prompt_md5"))
+    """The prompts of all questions; their size counts the system part."""
+    found = llms.answered(questions(spark, d), answer_blocks(spark, d))
+    return found.select("qid", F.size("blocks").alias("blocks"), "prompt_chars", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def rag_probe(spark, d):
+    """Answers of two variants, extracts of one block and of three, held against their blocks."""
+    found = storage.stored(answer_blocks(spark, d), "blocks")
+    cited = F.transform("blocks", lambda b: F.struct(b["citation"].alias("citation"), F.regexp_extract(b["citation"], "^(.*):", 1).alias("file_path")))
+    runs = {"one": Config(extract_blocks=1), "three": Config()}
+    each = [llms.answered(questions(spark, d), found, c).select(F.lit(n).alias("variant"), "text", cited.alias("hits")) for n, c in runs.items()]
+    return llms.probed(reduce(DataFrame.unionByName, each))
 
 
 @query
@@ -508,10 +618,10 @@ def extractive_answer(spark, d):
 def made_answers(spark, d) -> DataFrame:
     """Answers with known faults: an exact citation, one with other lines, one of an unknown file, a bare path, a dangling reference."""
     n = F.col("doc_id").cast("string")
-    path = F.concat(F.col("source"), F.lit("/doc_"), n, F.lit(".py"))
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/doc_"), n, F.lit(".py"))
     text = F.concat(F.lit("See "), path, F.lit(":1-9 and "), path, F.lit(":2 [1]. Also lost/file_"), n, F.lit(".md:3–4, Doc_"), n, F.lit(".py, other.rb [7] ["), (F.col("doc_id") % 3).cast("string"), F.lit("]"))
     hits = F.array(F.struct(F.concat(path, F.lit(":1-9")).alias("citation"), path.alias("file_path")))
-    return table(spark, d, "documents").where("source is not null").select("doc_id", text.alias("text"), hits.alias("hits"))
+    return table(spark, d, "documents").select("doc_id", text.alias("text"), hits.alias("hits"))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..config import LANGUAGES, SKIPPED_ENDINGS, SKIPPED_FILES, SKIPPED_FOLDERS
 from ..functions.text import NAMESPACE
+from ..operators.generation import ABSTENTIONS, SYSTEM
 
 PARTS = "regexp_extract_all(regexp_replace({0}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z][a-z]+|[A-Z]+|[a-z]+|[0-9]+')"
 
@@ -70,9 +71,9 @@ found AS (SELECT h.*, coalesce(b.grade, 0) AS g FROM hits h LEFT JOIN best b USI
 placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, id) AS place FROM gold),
 ideal AS (SELECT qid, count(*) AS n_labels, sum(CASE WHEN place <= {k} THEN (pow(2.0, grade) - 1) / log2(place + 1) END) AS ideal FROM placed GROUP BY 1),
 per AS (SELECT retriever, qid, max((g > 0 AND rank <= 1)::INT) AS hit_1, max((g > 0 AND rank <= {k})::INT) AS hit_k, sum((g > 0 AND rank <= {k})::INT) AS n_good,
-  min(CASE WHEN g > 0 THEN rank END) AS first, sum(CASE WHEN rank <= {k} THEN (pow(2.0, g) - 1) / log2(rank + 1) END) AS dcg, max(CASE WHEN rank = 1 THEN score END) AS top FROM found GROUP BY 1, 2),
+  min(CASE WHEN g > 0 THEN rank END) AS first, sum(CASE WHEN rank <= {k} THEN (pow(2.0, g) - 1) / log2(rank + 1) END) AS dcg, max(CASE WHEN rank = 1 THEN score END) AS top, string_agg(CASE WHEN g > 0 THEN rank::VARCHAR END, ' ' ORDER BY rank) AS good FROM found GROUP BY 1, 2),
 per_query AS (SELECT n.retriever, n.qid, coalesce(n_labels, 0)::BIGINT AS n_labels, coalesce(hit_1, 0)::INT AS hit_1, coalesce(hit_k, 0)::INT AS hit_k, coalesce(n_good / n_labels, 0.0) AS recall,
-  coalesce(n_good, 0) / {k} AS precision, coalesce(1 / first, 0.0) AS rr, coalesce(CASE WHEN ideal > 0 THEN dcg / ideal END, 0.0) AS ndcg, coalesce(top, 0.0) AS top_score
+  coalesce(n_good, 0) / {k} AS precision, coalesce(1 / first, 0.0) AS rr, coalesce(CASE WHEN ideal > 0 THEN dcg / ideal END, 0.0) AS ndcg, coalesce(top, 0.0) AS top_score, coalesce(good, '') AS good_ranks
   FROM names n LEFT JOIN per USING (retriever, qid) LEFT JOIN ideal ON ideal.qid = n.qid)"""
 
 
@@ -128,7 +129,7 @@ SQL = {
     "knn_filtered_label": f"WITH {KNN}, same AS (SELECT * FROM s WHERE label = own), {ranks('r', 'same', 5)} {SHOW} r",
     "knn_per_label_cap": f"""WITH {KNN}, {ranks('r', 's', 20)}, own AS (SELECT r.*, row_number() OVER (PARTITION BY qid, label ORDER BY rank) AS o FROM r JOIN (SELECT id, label FROM b) USING (id)),
 capped AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS rank FROM own WHERE o <= 2) {SHOW} capped WHERE rank <= 5""",
-    "knn_eval_metrics": f"{knn_eval(5, 10)} SELECT qid, n_labels, hit_1, hit_k, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg, round(top_score, 6) AS top_score FROM per_query",
+    "knn_eval_metrics": f"{knn_eval(5, 10)} SELECT qid, n_labels, hit_1, hit_k, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg, round(top_score, 6) AS top_score, good_ranks FROM per_query",
     "knn_metrics_by_label": f"{knn_eval(5, 10)} SELECT label, count(*) AS queries, round(avg(hit_1), 6) AS hit_1, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM per_query JOIN q USING (qid) GROUP BY ROLLUP (label)",
     "knn_k_sweep": " UNION ALL ".join(f"(SELECT {k}::INT AS k, queries, hit_k, recall, mrr, ndcg FROM ({knn_eval(k, 20)} SELECT {SUMMARY} FROM per_query))" for k in (1, 3, 5, 10, 20)),
     "knn_threshold_sweep": f"""WITH {KNN_EVAL}, cuts AS (SELECT unnest([0.0, 0.1, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5])::DOUBLE AS threshold),
@@ -186,13 +187,13 @@ lined AS (SELECT id, source || '/doc_' || id || '.txt:1-' || len({_LINES}) AS ci
 hit AS (SELECT qid, rank, citation, 'doc_' || id AS name, text, l FROM bm JOIN lined USING (id) WHERE rank <= 5)"""
 SQL["context_blocks"] = f"""WITH {TOKENS}, {BM25}, {_BLOCKS}, c AS (SELECT qid, count(*) AS n, string_agg('[' || rank || '] ' || citation || '  (file ' || name || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS t FROM hit GROUP BY 1),
 p AS (SELECT a.qid, coalesce(n, 0)::INT AS blocks, 'Passages' || chr(10) || chr(10) || coalesce(t, '(the search found no passages)') || chr(10) || chr(10) || 'Asked: ' || query AS p FROM asked a LEFT JOIN c USING (qid))
-SELECT qid, blocks, length(p)::INT AS prompt_chars, md5(p) AS prompt_md5 FROM p"""
+SELECT qid, blocks, (length(p) + {len(SYSTEM)})::INT AS prompt_chars, md5(p) AS prompt_md5 FROM p"""
 SQL["extractive_answer"] = f"""WITH {TOKENS}, {BM25}, {_BLOCKS},
 c AS (SELECT qid, string_agg('[' || rank || '] ' || citation || ' ' || name || chr(10) || array_to_string(l[1:12], chr(10)) || CASE WHEN len(l) > 12 THEN chr(10) || '[+ ' || (len(l) - 12) || ' lines]' ELSE '' END || chr(10), chr(10) ORDER BY rank) AS t FROM hit WHERE rank <= 3 GROUP BY 1),
 p AS (SELECT a.qid, CASE WHEN t IS NULL THEN 'No passage was found, so the context is insufficient for an answer.' ELSE
   rtrim('Passages that match the question best (no model has read them):' || chr(10) || chr(10) || t, ' ' || chr(10) || chr(13) || chr(9)) END AS x FROM asked a LEFT JOIN c USING (qid))
 SELECT qid, md5(x) AS answer_md5, contains(lower(x), 'insufficient') OR contains(lower(x), 'not enough context') OR contains(lower(x), 'cannot answer') OR contains(lower(x), 'does not contain') AS abstained FROM p"""
-SQL["citation_check"] = """WITH a AS (SELECT doc_id, doc_id::VARCHAR AS n, source || '/doc_' || doc_id || '.py' AS path FROM documents WHERE source IS NOT NULL)
+SQL["citation_check"] = """WITH a AS (SELECT doc_id, doc_id::VARCHAR AS n, coalesce(source, 'none') || '/doc_' || doc_id || '.py' AS path FROM documents)
 SELECT doc_id, path || ':1-9 Doc_' || n || '.py' AS grounded, path || ':2-2' AS drifted, 'lost/file_' || n || '.md:3-4 other.rb' AS invented, CASE doc_id % 3 WHEN 0 THEN '0 7' WHEN 1 THEN '7' ELSE '2 7' END AS bad_refs FROM a"""
 SQL["abstention"] = """SELECT role, count(*) AS turns, sum((contains(lower(coalesce(text, '')), 'insufficient') OR contains(lower(coalesce(text, '')), 'not enough context') OR contains(lower(coalesce(text, '')), 'cannot answer')
 OR contains(lower(coalesce(text, '')), 'does not contain'))::INT)::BIGINT AS abstained FROM conversations GROUP BY 1"""
@@ -245,3 +246,43 @@ SQL["chunk_all"] = f"WITH {_made()} " + " UNION ALL ".join(f"SELECT * FROM (WITH
 SQL["context_expand"] = f"""WITH {_made()}, x AS (SELECT *, 'class Box' || n || ':' || chr(10) || '    \"\"\"A box.\"\"\"' AS head FROM symbols WHERE symbol_name = 'sizeOf')
 SELECT file_path, head AS class_signature, 'import o, re; from .base import Thing' AS imports, 'openLid' AS siblings,
 md5('import o, re' || chr(10) || 'from .base import Thing' || chr(10) || chr(10) || head || chr(10) || '    # other methods: openLid' || chr(10) || chr(10) || array_to_string(lines[start_line:end_line], chr(10))) AS expanded_md5 FROM x"""
+_CODE = "list_transform(v, lambda x: (CASE WHEN x < 0 THEN -1 ELSE 1 END * floor(least(1.0, abs(x) / top) * 127 + 0.5))::INT)"
+SQL["int8_topk"] = f"""WITH {KNN}, sizes AS (SELECT size, sum(count(*)) OVER (ORDER BY size) AS upto FROM (SELECT round(abs(unnest(v)), 4) AS size FROM b) GROUP BY 1),
+scale AS (SELECT min(size) AS top FROM sizes WHERE upto >= 0.99 * (SELECT max(upto) FROM sizes)), bc AS (SELECT id, v, {_CODE} AS c FROM b, scale), qc AS (SELECT qid, v, {_CODE} AS c FROM q, scale),
+rough AS (SELECT qid, id, list_dot_product(qc.v, bc.v) AS score, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(qc.c::DOUBLE[], bc.c::DOUBLE[]) DESC, id) AS n FROM qc, bc),
+fine AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8) DESC, id) AS n FROM rough WHERE n <= 44),
+left_ AS (SELECT * FROM fine WHERE n <= 11 AND id <> qid), {ranks('r', 'left_', 10)} {SHOW} r"""
+_PICKS = ", ".join(
+    f"""w{i} AS (SELECT c.qid, c.id, {i} AS step FROM c JOIN d ON d.qid = c.qid AND d.a = c.id JOIN p{i - 1} ch ON ch.qid = c.qid AND ch.id = d.b
+  WHERE NOT EXISTS (SELECT 1 FROM p{i - 1} o WHERE o.qid = c.qid AND o.id = c.id) GROUP BY c.qid, c.id, c.score, c.rank
+  QUALIFY row_number() OVER (PARTITION BY c.qid ORDER BY 0.5 * c.score - 0.5 * max(d.near) DESC, c.rank) = 1), p{i} AS (FROM p{i - 1} UNION ALL FROM w{i})"""
+    for i in range(2, 6)
+)
+SQL["mmr_topk"] = f"""WITH {KNN}, {ranks('knn', 's', 20)}, c AS (SELECT k.qid, k.id, k.rank, k.score, v FROM knn k JOIN (SELECT id, v FROM b) USING (id)),
+d AS (SELECT x.qid, x.id AS a, y.id AS b, list_dot_product(x.v, y.v) AS near FROM c x JOIN c y USING (qid)), p1 AS (SELECT qid, id, 1 AS step FROM c WHERE rank = 1), {_PICKS}
+SELECT p5.qid, p5.id AS item, step::INT AS rank, round(score, 6) AS score FROM p5 JOIN c USING (qid, id)"""
+_FILTERED = "near AS (SELECT v.* FROM vec_s v JOIN docs USING (id) WHERE {0})"
+SQL["search_filtered"] = f"WITH {TOKENS}, {VECTOR}, {_FILTERED.format("lang = 'en' AND id % 3 <> 0 AND source = 'src3'")}, {ranks('r', 'near', 5)} {SHOW} r"
+SQL["search_filtered_rerank"] = f"WITH {TOKENS}, {VECTOR}, {_FILTERED.format("lang = 'en'")}, {ranks('wide', 'near', 20)}, {SETS}, {reranked('rr', 'wide')} {SHOW} rr"
+_ORACLE = f"""{TOKENS}, {VECTOR}, {GOLD}, first_ AS (SELECT qid, arg_min(coalesce(lang, ''), id) AS own FROM gold JOIN docs USING (id) GROUP BY 1),
+near AS (SELECT v.* FROM vec_s v JOIN docs USING (id) LEFT JOIN first_ USING (qid) WHERE own IS NULL OR coalesce(lang, '') = own), {ranks('r', 'near', 5)}"""
+SQL["search_oracle_language"] = f"WITH {_ORACLE} {SHOW} r"
+SQL["filter_comparison"] = f"""WITH {_ORACLE}, names AS (SELECT retriever, qid FROM asked, (VALUES ('none'), ('oracle_language')) v(retriever)),
+hits AS (SELECT 'none' AS retriever, qid, id, rank, score FROM vec WHERE rank <= 5 UNION ALL SELECT 'oracle_language', qid, id, rank, score FROM r), {metrics(5)} SELECT retriever, {SUMMARY} FROM per_query GROUP BY 1"""
+SQL["rerank_enriched_topk"] = f"""WITH {TOKENS}, {VECTOR}, head AS (SELECT id, lang || ' ' || source AS h FROM docs), {tokens('htok', 'head', 'id', 'h')}, qset AS (SELECT qid, list(DISTINCT term) AS q FROM qtok GROUP BY 1),
+dset AS (SELECT id, list(DISTINCT term) AS t FROM (FROM tok UNION ALL FROM htok) GROUP BY 1), {reranked('rr', 'vec')} SELECT rr.qid, id AS item, rr.rank, round(vec.score, 6) AS score FROM rr JOIN vec USING (qid, id)"""
+SQL["context_cost"] = f"""WITH {TOKENS}, {BM25}, n AS (SELECT id, {_RUNS.format('text')} AS n FROM docs),
+p AS (SELECT k, qid, sum(n) AS t FROM bm JOIN n USING (id), (SELECT unnest([1, 3, 5, 10, 20])::INT AS k) WHERE rank <= k GROUP BY 1, 2) SELECT k, round(avg(t), 6) AS mean_tokens FROM p GROUP BY 1"""
+SQL["strategy_comparison"] = f"WITH {_made()}, " + ", ".join(f"emb_{s} AS (SELECT '{s}' AS strategy, embed_text FROM (WITH {_chunks(s).replace('SELECT ' + repr(s) + ' AS strategy, ' + _UUID, 'SELECT embed_text, ' + _UUID)}))" for s in _KINDS) + f", c AS (SELECT strategy, {_RUNS.format('embed_text')}::INT AS n FROM ({' UNION ALL '.join(f'FROM emb_{s}' for s in _KINDS)})) {stats('c', 'strategy')}"
+SQL["label_grades"] = f"""WITH {_made()} SELECT file_path, symbol_name, CASE WHEN (n::BIGINT % 3 = 0 AND symbol_name = 'openLid') OR (n::BIGINT % 3 = 1 AND symbol_name = 'sizeOf') OR n::BIGINT % 3 = 2 THEN 2 ELSE 0 END AS grade
+FROM symbols WHERE starts_with(file_path, 'pkg/')"""
+SQL["label_index"] = f"WITH {_made()} SELECT DISTINCT file_path AS file, unnest([symbol_name, CASE WHEN class_name <> '' THEN class_name || '.' ELSE '' END || symbol_name]) AS name FROM symbols WHERE starts_with(file_path, 'pkg/')"
+SQL["retriever_comparison_mmr"] = f"""WITH {TOKENS}, {VECTOR}, {GOLD}, c AS (SELECT qid, id, rank, score FROM vec),
+d AS (SELECT x.qid, x.id AS a, y.id AS b, sum(p.v * q.v) AS near FROM c x JOIN c y USING (qid) JOIN dv p ON p.id = x.id JOIN dv q ON q.id = y.id AND q.dim = p.dim GROUP BY 1, 2, 3),
+p1 AS (SELECT qid, id, 1 AS step FROM c WHERE rank = 1), {_PICKS}, hits AS (SELECT 'vector_mmr' AS retriever, p5.qid, p5.id, step AS rank, score FROM p5 JOIN c USING (qid, id)),
+names AS (SELECT 'vector_mmr' AS retriever, qid FROM asked), {metrics(5)} SELECT retriever, {SUMMARY} FROM per_query GROUP BY 1"""
+_MARKS = " OR ".join(f"contains(lower(x), '{m}')" for m in ABSTENTIONS)
+SQL["rag_probe"] = f"""WITH {TOKENS}, {BM25}, {_BLOCKS}, v AS (SELECT * FROM (VALUES ('one', 1), ('three', 3)) v(variant, m)),
+c AS (SELECT variant, qid, count(*) AS n, string_agg(array_to_string(l[1:12], chr(10)), chr(10)) AS x FROM hit, v WHERE rank <= m GROUP BY 1, 2),
+a AS (SELECT variant, a.qid, coalesce(n, 0) AS n, coalesce(x, 'insufficient') AS x FROM asked a CROSS JOIN v LEFT JOIN c USING (variant, qid))
+SELECT variant, count(*) AS questions, sum(({_MARKS})::INT)::BIGINT AS abstained, sum(n)::BIGINT AS grounded, 0::BIGINT AS drifted, 0::BIGINT AS invented, count(*) AS ok FROM a GROUP BY 1"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +36,22 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def load_tree(spark: SparkSession, root: str, most_bytes: int = Config.max_file_bytes) -> DataFrame:
-    """(file_path, language, content, sha) of a checked-out tree; `length` is tested before contents are read."""
+    """(file_path, language, content, sha) of a checked-out tree; `length` is tested before contents are read. Links are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     relative = F.expr(f"substring(path, {len(whole) + 2})")
     found = raw.select(relative.alias("file_path"), "length", "content").where(wanted(F.col("file_path"), F.col("length"), most_bytes))
-    return decoded(found)
+    links = links_below(whole)
+    return decoded(found.where(~F.col("file_path").isin(links)) if links else found)
+
+
+def links_below(root: str) -> list[str]:
+    """Files of a local tree that are links or lie below one; other stores have none."""
+    if not root.startswith("file:"):
+        return []
+    base = Path(urlsplit(root).path)
+    return [str(p.relative_to(base)) for p in base.rglob("*") if p.is_file() and p.resolve() != base.resolve() / p.relative_to(base)]
 
 
 def gold_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,4 @@
+import glob
 import os
 import sys
 
@@ -16,3 +17,22 @@ def spark():
     session = builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@pytest.fixture(scope="session")
+def same_as_sql(spark):
+    """Runs a query and its SQL over the same tables and compares all rows."""
+    import duckdb
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+
+    def check(run, sql):
+        df = run(spark, DATA)
+        columns = sorted(df.columns)
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        key = lambda row: tuple((v is None, str(v)) for v in row)
+        assert sorted(map(tuple, df.select(*columns).collect()), key=key) == sorted(want, key=key)
+
+    return check
