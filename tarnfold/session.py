@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 #: Arrow batches by size rather than by rows: a worker's memory must not depend on how long texts are.
-BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(4 << 20)
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(2 << 20)
 
 
 def ship(spark: SparkSession) -> None:
