@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-CHUNKS_KEPT, PAIRS_KEPT, STEPS_KEPT = 150_000, 250_000, 250_000
+CHUNKS_KEPT, PAIRS_KEPT, STEPS_KEPT = 80_000, 120_000, 120_000
 #: Texts encoded together.
 TEXTS = 1000
 END = "</w>"

@@ -8,12 +8,14 @@ resemblance; containment and the number of distinct shingles follow from the sam
 With fewer than K shingles the sketch is the whole set and all estimates are exact.
 
 The next document, by ascending doc_id, is found without a total order in one task: ids
-are cut into ranges by quantiles and equal steps between them, each range gets a copy of the
-first row of the range after it, and LEAD does the rest within ranges.
+are cut into ranges by quantiles and by quantiles between these, rows without one by their text's
+hash; each range gets a copy of the first row of the range after it, and LEAD does the rest within
+ranges.
 
 Edge cases: a null text is empty and has the empty sketch, alike (1.0) only to another
-empty one; null doc_ids come first; of repeated doc_ids the order is that of the texts'
-hashes; a single document is its own next one; an empty table gives no rows.
+empty one; null doc_ids come first; of null and repeated doc_ids the order is that of the texts'
+hashes; a single document is its own next one; texts of any length are read whole; other columns of the
+input play no part, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql.window import Window
 from . import common
 
 K, WORDS = 128, 5
-#: Ranges of ids: quantile cells times equal steps within each; rows aimed at in one range.
-QUANTILES, STEPS, ROWS_PER_RANGE = 64, 1024, 2_000
+#: Ranges of ids: quantile cells, at most so many, times quantiles within each, at most so many; rows aimed at in one range.
+QUANTILES, STEPS, ROWS_PER_RANGE = 256, 1024, 2_000
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -74,33 +76,59 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
+def at_most(bounds: Column, value: Column) -> Column:
+    """How many of the bounds are at most the value."""
+    return F.size(F.filter(bounds, lambda b: b <= value))
+
+
+def quantiles(name: str, parts: int) -> Column:
+    """The bounds between `parts` parts of about equal size, as an array; empty for one part."""
+    if parts < 2:
+        return F.array().cast("array<bigint>")
+    return F.percentile_approx(F.col(name).cast("long"), [i / parts for i in range(1, parts)], 10 * parts)
+
+
+def id_ranges(ids: DataFrame, rows: int, nulls: int) -> tuple[DataFrame, int, int]:
+    """(cell, bounds): the quantiles within each cell; and how many ranges a cell has, and how many the rows without id."""
+    ranges = max(1, math.ceil(rows / ROWS_PER_RANGE))
+    cells = min(QUANTILES, ranges)
+    steps = min(STEPS, math.ceil(ranges / cells))
+    first = ids.agg(quantiles("doc_id", cells)).first()[0] or []
+    cell = at_most(F.array(*map(F.lit, first)).cast("array<bigint>"), F.col("doc_id")).alias("cell")
+    within = ids.where("doc_id is not null").groupBy(cell).agg(quantiles("doc_id", steps).alias("bounds"))
+    found = ids.sparkSession.createDataFrame([tuple(r) for r in within.collect()], "cell int, bounds array<bigint>")  # QUANTILES * STEPS numbers at most
+    return found.withColumn("first", F.array(*map(F.lit, first)).cast("array<bigint>")), steps, max(1, math.ceil(nulls / ROWS_PER_RANGE))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): adds `bucket`, `ghost` and for use within a bucket the order columns.
 
     Ghosts are first rows of the next bucket; they serve LEAD only and are dropped after it.
     """
     spark = docs.sparkSession
-    ids = docs.select("doc_id")
-    rows, low, high = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    ranges = max(1, math.ceil(rows / ROWS_PER_RANGE))
-    cells, steps = min(QUANTILES, ranges), min(STEPS, math.ceil(ranges / QUANTILES))
-    bounds = [] if low is None else ids.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)] or [0.5], 10 * QUANTILES)).first()[0]
-    starts = sorted({low, *bounds}) if low is not None else []
-    ends = [*starts[1:], (high or 0) + 1]
-    cell, begin, width = F.lit(0), F.lit(low or 0), F.lit(1)
-    for i, (a, b) in enumerate(zip(starts, ends, strict=True) if starts else []):
-        past = F.col("doc_id") >= a
-        cell, begin, width = F.when(past, F.lit(i)).otherwise(cell), F.when(past, F.lit(a)).otherwise(begin), F.when(past, F.lit(max(1, -(-(b - a) // steps)))).otherwise(width)
-    step = F.least(F.lit(steps - 1), F.floor((F.col("doc_id") - begin) / width))
-    bucket = F.coalesce(cell * F.lit(steps) + step, F.lit(-1)).cast("long")
-    firsts = sorted(tuple(r) for r in docs.select("doc_id", bucket.alias("b")).groupBy("b").agg(F.min("doc_id").alias("f")).select("b", "f").collect())  # QUANTILES * STEPS at most
-    before = [(f, firsts[i - 1][0]) for i, (_, f) in enumerate(firsts)]
-    ghosts = spark.createDataFrame(before, "first_id long, before long")
-    return (
-        docs.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
-        .withColumn("bucket", F.explode(F.array_compact(F.array(F.struct(bucket.alias("at"), F.lit(False).alias("ghost")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("at"), F.lit(True).alias("ghost")))))))
-        .select("doc_id", "text", F.xxhash64("text").alias("tie"), "bucket.at", "bucket.ghost")
-    )
+    rows, there = docs.agg(F.count("*"), F.count("doc_id")).first()
+    bounds, steps, null_steps = id_ranges(docs.select("doc_id"), there, rows - there)
+    first = bounds.limit(1).collect()
+    cell = at_most(F.array(*map(F.lit, first[0]["first"] if first else [])).cast("array<bigint>"), F.col("doc_id"))
+    tie = F.xxhash64("text")
+    # rows without id come first, dealt out by the order of their hashes
+    unnamed = F.least(F.lit(null_steps - 1), F.floor((tie / F.lit(2.0**64) + 0.5) * null_steps).cast("int")) - null_steps
+
+    def placed(df: DataFrame) -> DataFrame:
+        by_id = F.col("_cell") * steps + F.coalesce(at_most(F.col("bounds"), F.col("doc_id")), F.lit(0))
+        found = df.withColumn("_cell", cell).join(F.broadcast(bounds.select(F.col("cell").alias("_cell"), "bounds")), "_cell", "left")
+        return found.withColumn("_at", F.when(F.col("doc_id").isNull(), unnamed).otherwise(by_id).cast("long")).drop("_cell", "bounds")
+
+    firsts = placed(docs.select("doc_id", F.lit("").alias("text")).where("doc_id is not null")).groupBy("_at").agg(F.min("doc_id").alias("id")).select("_at", "id", F.lit(None).cast("long").alias("tie")).collect()
+    if there < rows:
+        firsts += placed(docs.where("doc_id is null")).groupBy("_at").agg(F.min(tie).alias("tie")).select("_at", F.lit(None).cast("long").alias("id"), "tie").collect()
+    firsts = sorted(map(tuple, firsts))  # a row for each range
+    before = [(i, t, firsts[n - 1][0]) for n, (_, i, t) in enumerate(firsts)]
+    ghosts = F.broadcast(spark.createDataFrame(before, "first_id long, first_tie long, before long"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("first_tie").isNull() | (F.col("first_tie") == tie))
+    own, ghost = F.struct(F.col("_at").alias("at"), F.lit(False).alias("ghost")), F.struct(F.col("before").alias("at"), F.lit(True).alias("ghost"))
+    both = F.explode(F.array_compact(F.array(own, F.when(F.col("before").isNotNull(), ghost))))
+    return placed(docs).join(ghosts, is_first, "left").withColumn("bucket", both).select("doc_id", "text", tie.alias("tie"), "bucket.at", "bucket.ghost")
 
 
 def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:

@@ -36,7 +36,7 @@ from . import common
 ORDER = 4
 PER_LANG, LONG_PER_LANG, LANGS_AT_ONCE, MOST_BYTES, LANG_BYTES = 250, 5, 64, 50_000, 1_000_000
 #: Bytes times languages worked on at once.
-CELLS = 4_000_000
+CELLS = 1_000_000
 LETTER = re.compile(r"[^\W\d_]")
 
 

@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact size by a communication matrix.
 
-Rows lie in blocks (a hash of doc_id); the result has cells, several to a shard. A matrix
+Rows lie in blocks (a hash of doc_id, size and checksum); the result has cells, several to a shard. A matrix
 with the block sizes as row sums and the cell sizes as column sums is drawn from the
 multivariate hypergeometric law: how many rows of each block a uniform random permutation
 of all rows would put into each cell. Then each block is permuted by itself and cut by its
@@ -11,7 +11,8 @@ Only the matrix is drawn on the driver, from the counts of blocks; BLOCKS and CE
 it (8 MB), so the broadcast of its cumulated rows has a fixed bound too.
 
 Edge cases: a null text has 0 bytes and crc32 0; null and repeated doc_ids are dealt like
-others (they may share a block); equal rows are interchangeable; an empty table gives none.
+others; equal rows are interchangeable (and share a block); texts of any length count whole; other
+columns of the input play no part, whatever their names; an empty table gives none.
 The law is `rows`: shard sizes differ by one at most. grown_shard is null under this law.
 """
 
@@ -28,8 +29,8 @@ from pyspark.sql.window import Window
 from . import common
 
 SHARDS, SEED = 40, 20
-#: At most so many blocks and cells; rows for each of them below that.
-BLOCKS, CELLS, ROWS_PER_BLOCK = 1024, 1000, 10_000
+#: At most so many blocks and cells; rows for each of them below that, but no fewer than LEAST_BLOCKS blocks.
+BLOCKS, CELLS, ROWS_PER_BLOCK, LEAST_BLOCKS = 1024, 1000, 10_000, 16
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -86,11 +87,14 @@ def matrix(block_sizes: list[int], cell_sizes: list[int], seed: int) -> list[lis
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, size, text_crc32, shard, slot."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id").count()
-    n_blocks = max(1, min(BLOCKS, math.ceil(rows / ROWS_PER_BLOCK)))
+    text = common.text_or_empty()
+    facts = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    facts = common.stored(facts, "op5-facts")  # texts are read once
+    rows = facts.count()
+    n_blocks = max(LEAST_BLOCKS, min(BLOCKS, math.ceil(rows / ROWS_PER_BLOCK)))
     per_shard = max(1, min(CELLS // shards, math.ceil(rows / shards / ROWS_PER_BLOCK)))
-    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(n_blocks)).cast("int")
-    counts = {r[0]: r[1] for r in docs.select(block.alias("block")).groupBy("block").count().collect()}  # BLOCKS at most
+    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"), F.lit(n_blocks)).cast("int")
+    counts = {r[0]: r[1] for r in facts.groupBy(block.alias("block")).count().collect()}  # BLOCKS at most
     sizes = [rows // shards + (s < rows % shards) for s in range(shards)]
     cells, offsets = [], []
     for n in sizes:
@@ -102,10 +106,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED)
     cuts = [(b, [(e, c) for c, (e, n) in enumerate(zip(accumulate(row), row, strict=True)) if n]) for b, row in enumerate(drawn)]
     plan = spark.createDataFrame(cuts, "block int, cuts array<struct<last: long, cell: int>>")
 
-    text = common.text_or_empty()
-    read = docs.select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), block.alias("block")
-    )
+    read = facts.withColumn("block", block)
     place = lambda part, salt: F.row_number().over(Window.partitionBy(part).orderBy(F.xxhash64(F.lit(salt), "doc_id", "text_crc32"), "doc_id", "text_crc32"))
     dealt = (
         read.withColumn("place", place("block", seed + 1))

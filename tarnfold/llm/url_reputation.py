@@ -10,8 +10,9 @@ A url is blocked if the lower bound of its host's posterior bad rate (mean less
 standard deviations) exceeds `most_bad`. Hosts without outcomes inherit their domain.
 
 Edge cases: a null url, or one without "://", has empty host and path and is judged by
-the group of empty hosts; a null page_id stays null; repeated pages count once each;
-with no labels at all every host has the flat prior and is allowed.
+the group of empty hosts; a null page_id stays null; repeated pages count once each; urls of any
+length are read whole; other columns of the input play no part, whatever their names; with no
+labels at all every host has the flat prior and is allowed; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,37 +72,35 @@ def with_names(hosts: DataFrame) -> DataFrame:
     )
 
 
-def shrink(groups: DataFrame) -> DataFrame:
-    """groups has n, bad and the parent's posterior mean `up`; adds the posterior's mean and deviation."""
+def shrink(groups: DataFrame, name: str) -> DataFrame:
+    """groups has n, bad and the parent's posterior mean `up`; adds the posterior's mean and deviation. They are stored: two passes read them."""
+    groups = common.stored(groups, name)
     has, spread = F.col("n") > 0, F.col("up") * (1 - F.col("up"))
-    fitted = groups.agg(
-        F.sum(F.when(has, F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("up"), 2) / spread)).alias("q"),
-        F.sum(has.cast("long")).alias("k"),
-        F.sum(F.when(has, F.col("n") - 1)).alias("free"),
-    ).select(
-        (
-            1 / F.least(F.lit(MOST_RHO), F.greatest(F.lit(LEAST_RHO), F.when(F.col("free") > 0, (F.col("q") - F.col("k")) / F.col("free")).otherwise(F.lit(LEAST_RHO)))) - 1
-        ).alias("strength")
-    )
-    mean = (F.col("strength") * F.col("up") + F.col("bad")) / (F.col("strength") + F.col("n"))
-    return (
-        groups.crossJoin(F.broadcast(fitted))
-        .withColumn("mean", mean)
-        .withColumn("deviation", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + F.col("n") + 1)))
-        .drop("strength", "up")
-    )
+    q, k, free = groups.agg(
+        F.sum(F.when(has, F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("up"), 2) / spread)),
+        F.sum(has.cast("long")),
+        F.sum(F.when(has, F.col("n") - 1)),
+    ).first()
+    rho = (q - k) / free if free and free > 0 else LEAST_RHO
+    strength = F.lit(1 / min(MOST_RHO, max(LEAST_RHO, rho)) - 1)
+    mean = (strength * F.col("up") + F.col("bad")) / (strength + F.col("n"))
+    return groups.withColumn("mean", mean).withColumn("deviation", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (strength + F.col("n") + 1))).drop("up")
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: one row per host with pages, n (labelled pages) and bad; adds mean and deviation."""
     hosts = common.stored(with_names(outcomes), "op1-hosts")
-    sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    everything = hosts.agg(*sums).select(((F.coalesce("bad", F.lit(0)) + PRIOR_BAD) / (F.coalesce("n", F.lit(0)) + 1)).alias("up"))
-    suffixes = shrink(hosts.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(everything)))
-    up = suffixes.select("suffix", F.col("mean").alias("up"))
-    domains = shrink(hosts.groupBy("suffix", "domain").agg(*sums).join(up, "suffix"))
-    up = domains.select("suffix", "domain", F.col("mean").alias("up"))
-    return shrink(hosts.join(up, ["suffix", "domain"]))
+    n, bad = hosts.agg(F.sum("n"), F.sum("bad")).first()
+    everything = F.lit(((bad or 0) + PRIOR_BAD) / ((n or 0) + 1))
+    sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("hosts"))
+    by_domain = common.stored(hosts.groupBy("suffix", "domain").agg(*sums), "op1-domain-sums")
+    by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("domains"))
+    suffixes = shrink(by_suffix.withColumn("up", everything), "op1-suffixes")
+    # a domain's name tells its suffix; large suffixes and domains are dealt out
+    up = suffixes.select("suffix", "domains", F.col("mean").alias("up"))
+    domains = shrink(common.join_on_hot_key(by_domain, up, "suffix", "domains", F.col("domain")), "op1-domains")
+    up = domains.select("domain", "hosts", F.col("mean").alias("up"))
+    return shrink(common.join_on_hot_key(hosts, up, "domain", "hosts", F.col("host")), "op1-posteriors")
 
 
 def judge(pages: DataFrame, bad_docs: DataFrame, rules=RULES, z: float = Z, most_bad: float = MOST_BAD) -> DataFrame:
@@ -110,7 +109,10 @@ def judge(pages: DataFrame, bad_docs: DataFrame, rules=RULES, z: float = Z, most
     read = pages.select("page_id", host.alias("host"), path.alias("path"))
     number = F.regexp_extract("path", "/([0-9]{1,18})", 1)
     counted = read.groupBy("host", F.when(number != "", number.cast("long")).alias("number")).agg(F.count("*").alias("pages"))
-    known = counted.join(bad_docs, "number", "left")
+    counted = common.stored(counted, "op1-numbers")
+    numbered = counted.where("number is not null")
+    seen = numbered.groupBy("number").agg(F.count("*").alias("rows")).join(bad_docs, "number")
+    known = common.join_on_hot_key(numbered, seen, "number", "rows", F.col("host")).unionByName(counted.where("number is null"), allowMissingColumns=True)
     outcomes = known.groupBy("host").agg(
         F.sum("pages").alias("pages"),
         F.sum(F.when(F.col("bad").isNotNull(), F.col("pages")).otherwise(F.lit(0))).alias("n"),
