@@ -27,12 +27,13 @@
 
 No pair table is made: rooms return the least document of each local component. The
 thresholds are exact integers (100 * intersection >= percent * union). Sets are of 64-bit
-hashes, of which 48 bits travel to the rooms.
+hashes.
 
 Edge cases: a null text is empty; a set without words is linked with nothing, not even
 another empty one; fewer words than a shingle are one shingle; rows that share a doc_id
 count as one document; a row with null doc_id takes part in no link and has no component
-unless another document has the same set; an empty table gives no rows.
+unless another document has the same set; texts of any length are read whole; other columns of the
+input play no part, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ from . import common, components, word_hash
 
 WORDS, PERCENT = 4, 85
 ROOM_DOCS, ROOM_SHINGLES = 4_000, 1_500_000
+#: A token with at least so many rows (or HOT_SHARE of the documents) has them dealt out; how many documents are looked at to tell.
+HOT_ROWS, HOT_SAMPLE = 20_000, 64
 #: How far below its mean a linked pair's agreement may lie.
 DEVIATIONS = 6.5
 #: A leader with at least one in so many of the tokens that a document has with its main leader may be its group's.
@@ -159,17 +162,6 @@ def tokens_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return found.select(F.explode("tokens").alias("token"), "doc", "kind", "need", "n")
 
 
-def short(hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash: enough within a room, where a set meets few others."""
-    return (hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def placed_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
     """places (doc, ...) with the set of each doc, read again from its text: one shuffle of sets, to where they meet."""
     rest = [c for c in places.columns if c != "doc"]
@@ -181,7 +173,7 @@ def placed_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [short(s) for _, s, _ in sets_of([part], words)]
+                sets = [s.astype("<u8").tobytes() for _, s, _ in sets_of([part], words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), part.column(2)], names=["doc", "shingles", "spots"])
 
     schema = f"doc long, shingles binary, spots {spots.schema['spots'].dataType.simpleString()}"
@@ -191,7 +183,7 @@ def placed_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
 def _loaded(table: pa.Table):
     """Documents of a room: ids, sizes, shingles renumbered from 0, where each document's begin."""
     ids = table.column("doc").to_numpy()
-    sets = [long(x) for x in table.column("shingles").to_pylist()]
+    sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
     sizes = np.array([len(s) for s in sets], np.int64)
     kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
     return ids, sizes, flat, np.concatenate(([0], np.cumsum(sizes))), len(kinds)
@@ -275,30 +267,55 @@ def _pairs_table(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"doc": pa.array(a, pa.int64()), "root": pa.array(b, pa.int64())})
 
 
-def in_several(tokens: DataFrame) -> DataFrame:
+def hot_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Tokens that so many documents seem to have that one task should not get all their rows; None if there are none.
+
+    Guessed from one document in HOT_SAMPLE. At most some thousands, as a document has few tokens and a hot one is in a share of
+    all documents. The list decides how a token's rows are dealt out, not what becomes of them.
+    """
+    least = max(HOT_ROWS, docs.count() * common.HOT_SHARE) / HOT_SAMPLE
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0)
+    found = common.stored(tokens_of(sample, words, percent).groupBy("token").count().where(F.col("count") >= 0.6 * least).select("token"), "op8-hot")
+    return None if found.isEmpty() else found
+
+
+def with_facts(rows: DataFrame, hot: DataFrame | None, **facts: str) -> DataFrame:
+    """rows (token, ...) with aggregates over the rows of a token: by window, for hot tokens by partial sums and a broadcast."""
+
+    def by_window(df: DataFrame) -> DataFrame:
+        return df.withColumns({name: F.expr(f"{what} over (partition by token)") for name, what in facts.items()})
+
+    if hot is None:
+        return by_window(rows)
+    own = rows.join(F.broadcast(hot), "token")
+    sums = own.groupBy("token").agg(*(F.expr(what).alias(name) for name, what in facts.items()))
+    cold = by_window(rows.join(F.broadcast(hot), "token", "left_anti"))
+    return cold.unionByName(own.join(F.broadcast(sums), "token"))
+
+
+def in_several(tokens: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """The rows of tokens that two documents or more have, with each one's leader."""
-    over = tokens.withColumn("leader", F.expr("min(doc) over (partition by token)")).withColumn("last", F.expr("max(doc) over (partition by token)"))
-    return over.where("leader != last").drop("last")
+    return with_facts(tokens, hot, leader="min(doc)", last="max(doc)").where("leader != last").drop("last")
 
 
-def rarest(shared: DataFrame, common_ones: int) -> DataFrame:
+def rarest(shared: DataFrame, common_ones: int, hot: DataFrame | None = None) -> DataFrame:
     """Of shared (token, doc, kind, need, ...) the rows of tokens that are rare for their document.
 
     Of the tokens that two linked documents share in an instance the k-th in order of rarity
     comes, for either of them, before at least need - k others: so the first common_ones (or
     need, if that is less) are among the rarest all - need + common_ones of both.
     """
-    ranked = shared.withColumn("seen", F.expr("count(*) over (partition by token)")).withColumn("rank", F.expr("row_number() over (partition by doc, kind order by seen, token)"))
+    ranked = with_facts(shared, hot, seen="count(*)").withColumn("rank", F.expr("row_number() over (partition by doc, kind order by seen, token)"))
     whole = ranked.withColumn("all", F.expr("count(*) over (partition by doc, kind)")).withColumn("least", F.expr("min(need) over (partition by doc, kind)"))
     return whole.where(F.col("rank") <= F.col("all") - F.col("least") + common_ones).drop("seen", "rank", "all", "least")
 
 
-def that_may_link(shared: DataFrame) -> DataFrame:
+def that_may_link(shared: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """The doc of each document that has a rare token in common with another."""
-    return in_several(rarest(shared, 1).select("token", "doc")).select("doc").distinct()
+    return in_several(rarest(shared, 1, hot).select("token", "doc"), hot).select("doc").distinct()
 
 
-def opened_groups(shared: DataFrame) -> DataFrame:
+def opened_groups(shared: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """shared (token, doc, kind, need, n, leader) -> (room, doc, n): each group with its members and the visitors it opens for."""
     enough = shared.groupBy("doc", "kind").agg(F.count("*").alias("all"), F.min("need").alias("least")).where("all >= least").select("doc", "kind")
     shared = common.stored(shared.join(enough, ["doc", "kind"]), "op8-enough")
@@ -306,7 +323,7 @@ def opened_groups(shared: DataFrame) -> DataFrame:
     most = ties.groupBy("doc").agg(F.max("ties").alias("most"))
     home = ties.join(most, "doc").where(STRONG * F.col("ties") >= F.col("most")).groupBy("doc").agg(F.min("leader").alias("room"), F.max("n").alias("n"))
     placed = shared.drop("n").join(home.withColumnRenamed("room", "own"), "doc")
-    placed = common.stored(rarest(placed, RARE), "op8-rarest")
+    placed = common.stored(rarest(placed, RARE, hot), "op8-rarest")
     matrix = placed.select("token", F.col("own").alias("room")).distinct()
     # of two groups only the one with the larger name visits the other: either meeting would do
     meets = placed.join(matrix, "token").where("room < own").groupBy("doc", "room", "kind").agg(F.count("*").alias("both"), F.min("need").alias("need"), F.max("n").alias("n"))
@@ -352,11 +369,12 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     # hashed again rather than stored: only one shuffle of tokens is on disk
     stand = common.by_ids(docs.select("doc_id", "text").where("doc_id is not null"), copies, "doc_id", "left_anti")
     tokens = tokens_of(stand, words, percent)
-    shared = common.stored(in_several(tokens).drop("leader").distinct(), "op8-shared")
-    linked = common.stored(that_may_link(shared), "op8-linked")
-    shared = in_several(common.by_ids(shared, linked, "doc", "left_semi"))
+    hot = hot_tokens(stand, words, percent)
+    shared = common.stored(in_several(tokens, hot).drop("leader").distinct(), "op8-shared")
+    linked = common.stored(that_may_link(shared, hot), "op8-linked")
+    shared = in_several(common.by_ids(shared, linked, "doc", "left_semi"), hot)
 
-    rooms = common.stored(rooms_in_blocks(common.stored(opened_groups(shared), "op8-opened")), "op8-rooms")
+    rooms = common.stored(rooms_in_blocks(common.stored(opened_groups(shared, hot), "op8-opened")), "op8-rooms")
     edges = placed_sets(docs, rooms.select("doc", "room", "block"), words).groupBy("room", "block")
     edges = common.stored(edges.applyInArrow(lambda t: _pairs_table(room_components(t, percent)), "doc long, root long").distinct(), "op8-edges")
     found = common.stored(components.of_stars(edges), "op8-components")

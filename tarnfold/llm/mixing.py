@@ -84,7 +84,11 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def copies(facts: DataFrame, plan: list[tuple], seed: int = SEED) -> DataFrame:
-    """facts (doc_id, source, n_tokens, _tie) -> a row for each copy taken, with epoch and at_token, the tokens before it in its source's stream."""
+    """facts (doc_id, source, n_tokens, _tie) -> a row for each copy taken, with epoch, at_token and at_share.
+
+    at_token: the tokens before it in its source's stream; at_share: that as a share of the source's quota. In the order
+    of at_share all sources advance alike, so each part of the whole stream holds them by their weights.
+    """
     spark = facts.sparkSession
     planned = spark.createDataFrame(plan, "_source string, _tokens long, _blocks long, _epochs long, _rest long")
     placed = facts.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("_source")))
@@ -101,8 +105,9 @@ def copies(facts: DataFrame, plan: list[tuple], seed: int = SEED) -> DataFrame:
     match = F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.epoch") == F.col("r.epoch")) & (F.col("l._block") == F.col("r._block"))
     joined = rows.alias("l").join(before.select("source", "epoch", "_block", "_before").alias("r"), match).select("l.*", "r._before")
     ends: Column = F.col("_before") + F.col("_upto")
+    at_token, quota = F.col("epoch") * F.col("_tokens") + ends - F.col("n_tokens"), F.col("_epochs") * F.col("_tokens") + F.col("_rest")
     return joined.where((F.col("epoch") < F.col("_epochs")) | (ends <= F.col("_rest"))).select(
-        "doc_id", "source", "n_tokens", "_tie", F.col("epoch").cast("int").alias("epoch"), (F.col("epoch") * F.col("_tokens") + ends - F.col("n_tokens")).alias("at_token")
+        "doc_id", "source", "n_tokens", "_tie", F.col("epoch").cast("int").alias("epoch"), at_token.alias("at_token"), F.coalesce(at_token / F.nullif(quota, F.lit(0)), F.lit(0.0)).alias("at_share")
     )
 
 

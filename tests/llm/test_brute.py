@@ -332,6 +332,7 @@ def test_mixture_against_brute_force(spark, monkeypatch):
         # whole epochs hold each row once; the part of one is the start of its permutation
         for e in range(epochs):
             assert sum(r.epoch == e for r in own) == count[s] and sum(r.n_tokens for r in own if r.epoch == e) == tokens
+        assert all(0 <= r.at_share <= 1 and (not tokens or abs(r.at_share * (epochs * tokens + rest) - r.at_token) < 1e-6) for r in own)
         last = [r for r in own if r.epoch == epochs]
         at = epochs * tokens
         for r in last:

@@ -57,9 +57,11 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize(("words", "percent", "room"), [(4, 85, 4000), (5, 80, 4000), (4, 85, 7), (5, 80, 7)])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, words, percent, room):
+@pytest.mark.parametrize(("words", "percent", "room", "hot"), [(4, 85, 1000, 20_000), (5, 80, 1000, 2), (4, 85, 7, 2), (5, 80, 7, 20_000)])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, words, percent, room, hot):
     monkeypatch.setattr(jaccard_join, "ROOM_DOCS", room)
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", hot)
+    monkeypatch.setattr(jaccard_join, "HOT_SAMPLE", 1)
     rng, texts = random.Random(words * room), []
     for _ in range(14):
         base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 8, 20, 60, 200]))]
