@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from . import common, components, word_hash
 
 WORDS, PERCENT = 4, 85
-ROOM_DOCS, ROOM_SHINGLES = 4_000, 1_500_000
+ROOM_DOCS, ROOM_SHINGLES = 1_000, 1_500_000
 #: A token with at least so many rows (or HOT_SHARE of the documents) has them dealt out; how many documents are looked at to tell.
 HOT_ROWS, HOT_SAMPLE = 20_000, 64
 #: How far below its mean a linked pair's agreement may lie.
