@@ -1,4 +1,4 @@
-"""python -m tarnfold COMMAND: fetch, load, parse, chunk, index, search, ask, eval."""
+"""python -m tarnfold COMMAND: fetch, load, parse, chunk, index, search, ask, eval, experiments."""
 
 from __future__ import annotations
 
@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     command("search", "name", "question", filters=True)
     command("ask", "name", "question", filters=True)
     command("eval", "name", "gold", filters=True)
+    command("experiments", "tables").add_argument("--only", nargs="*")
     return p
 
 
@@ -71,6 +72,11 @@ def run(engine: Engine, args) -> str:
         case "ask":
             row = engine.ask(args.name, [args.question], **options_of(args)).first()
             return f"{row.text}\n\ngrounded {len(row.grounded)}, drifted {len(row.drifted)}, invented {len(row.invented)}, bad references {len(row.bad_refs)}"
+        case "experiments":
+            from .plans import registry
+
+            known = registry.queries()
+            return "\n\n".join(f"## {n}\n\n{evaluation.markdown(known[n](engine.spark, args.tables))}" for n in args.only or registry.EXPERIMENTS)
         case _:
             row = engine.evaluate(args.name, args.gold, **options_of(args)).first()
             return reports.summary_text(args.name, row)

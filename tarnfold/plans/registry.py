@@ -184,9 +184,9 @@ def questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-def vector_search(spark, d, k: int) -> DataFrame:
-    base = vectors.hash_embed(corpus(spark, d), "id", "text")
-    asked = vectors.hash_embed(questions(spark, d), "qid", "query")
+def vector_search(spark, d, k: int, dim: int = 64) -> DataFrame:
+    base = vectors.hash_embed(corpus(spark, d), "id", "text", dim)
+    asked = vectors.hash_embed(questions(spark, d), "qid", "query", dim)
     return retrieval.exact_knn(base, asked, k)
 
 
@@ -383,6 +383,15 @@ def filter_comparison(spark, d):
     return evaluation.summary(evaluation.query_scores(names, hits, labels, 5), 0.3, "retriever")
 
 
+@query
+def model_comparison(spark, d):
+    """Encoders of several sizes, each as a run of the evaluation."""
+    labels = storage.stored(gold(spark, d), "gold")
+    hits = reduce(DataFrame.unionByName, [vector_search(spark, d, 5, dim).withColumn("retriever", F.lit(f"hash-{dim}")) for dim in (16, 64, 256)])
+    names = questions(spark, d).select("qid", F.explode(F.array(*(F.lit(f"hash-{dim}") for dim in (16, 64, 256)))).alias("retriever"))
+    return evaluation.summary(evaluation.query_scores(names, hits, labels, 5), 0.3, "retriever")
+
+
 @query
 def rerank_enriched_topk(spark, d):
     """Reranked on a text with a header; the scores are those of the search."""
@@ -635,3 +644,7 @@ def citation_check(spark, d):
 def abstention(spark, d):
     talks = table(spark, d, "conversations")
     return talks.groupBy("role").agg(F.count("*").alias("turns"), F.sum(generation.abstained(F.coalesce("text", F.lit(""))).cast("long")).alias("abstained"))
+
+
+#: Comparisons that `python -m tarnfold experiments` shows one after another.
+EXPERIMENTS = ("retriever_comparison", "retriever_comparison_mmr", "model_comparison", "filter_comparison", "strategy_comparison", "knn_k_sweep", "knn_threshold_sweep", "context_cost", "ann_sweep", "rag_probe")

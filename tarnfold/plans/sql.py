@@ -28,9 +28,9 @@ bm_s AS (SELECT qid, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8) DESC, id)::INT AS rank FROM bm_s) WHERE rank <= 20 AND score > 0)"""
 
 
-def embedded(name: str, source: str, key: str) -> str:
+def embedded(name: str, source: str, key: str, dim: int = 64) -> str:
     return f"""{name}_h AS (SELECT {key}, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM {source}),
-{name}_c AS (SELECT {key}, (h % 64)::INT AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_h GROUP BY 1, 2),
+{name}_c AS (SELECT {key}, (h % {dim})::INT AS dim, sum(CASE WHEN (h // {dim}) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_h GROUP BY 1, 2),
 {name} AS (SELECT {key}, dim, CASE WHEN n = 0 THEN v ELSE v / n END AS v FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY {key})) AS n FROM {name}_c))"""
 
 
@@ -286,3 +286,7 @@ SQL["rag_probe"] = f"""WITH {TOKENS}, {BM25}, {_BLOCKS}, v AS (SELECT * FROM (VA
 c AS (SELECT variant, qid, count(*) AS n, string_agg(array_to_string(l[1:12], chr(10)), chr(10)) AS x FROM hit, v WHERE rank <= m GROUP BY 1, 2),
 a AS (SELECT variant, a.qid, coalesce(n, 0) AS n, coalesce(x, 'insufficient') AS x FROM asked a CROSS JOIN v LEFT JOIN c USING (variant, qid))
 SELECT variant, count(*) AS questions, sum(({_MARKS})::INT)::BIGINT AS abstained, sum(n)::BIGINT AS grounded, 0::BIGINT AS drifted, 0::BIGINT AS invented, count(*) AS ok FROM a GROUP BY 1"""
+_MODELS = ", ".join(f"""{embedded(f'd{n}', 'tok', 'id', n)}, {embedded(f'q{n}', 'qtok', 'qid', n)},
+s{n} AS (SELECT qid, id, sum(a.v * b.v) AS score FROM q{n} a JOIN d{n} b USING (dim) GROUP BY 1, 2), {ranks(f'v{n}', f's{n}', 5)}""" for n in (16, 64, 256))
+SQL["model_comparison"] = f"""WITH {TOKENS}, {_MODELS}, {GOLD}, names AS (SELECT retriever, qid FROM asked, (VALUES ('hash-16'), ('hash-64'), ('hash-256')) v(retriever)),
+hits AS ({' UNION ALL '.join(f"SELECT 'hash-{n}' AS retriever, qid, id, rank, score FROM v{n}" for n in (16, 64, 256))}), {metrics(5)} SELECT retriever, {SUMMARY} FROM per_query GROUP BY 1"""

@@ -29,6 +29,28 @@ def stored_bytes(spark: SparkSession, folder: str) -> int:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
+def ann_scale(spark: SparkSession, sizes: tuple[int, ...], dim: int = 64, k: int = 10, queries: int = 50, times: int = 3) -> DataFrame:
+    """For each number of made vectors: seconds to build the index, its bytes, latencies of exact and indexed search, recall."""
+    from pyspark.sql import functions as F
+
+    from . import storage
+    from .operators import ann, retrieval
+
+    rows = []
+    for n in sizes:
+        base = storage.stored(ann.made_vectors(spark, n, dim), "scale-base")
+        asked = storage.stored(base.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // queries))) == 0).withColumnRenamed("id", "qid"), "scale-asked")
+        began = time.perf_counter()
+        index = ann.Ivf.build(base)
+        built = time.perf_counter() - began
+        probes = index.probes(asked, k)
+        exact = storage.stored(retrieval.exact_knn(base, asked, k), "scale-exact")
+        run = lambda df: latency(lambda: df().write.format("noop").mode("overwrite").save(), times)["median"]
+        found = ann.recall(index.search(asked, k, probes), exact, k).first().recall
+        rows.append((n, len(index.centers), probes, built, stored_bytes(spark, index.folder), run(lambda: retrieval.exact_knn(base, asked, k)), run(lambda: index.search(asked, k, probes)), found))  # noqa: B023
+    return spark.createDataFrame(rows, "vectors long, lists int, probes int, build_s double, bytes long, exact_s double, ivf_s double, recall double")
+
+
 def summary_text(name: str, row) -> str:
     """A row of evaluation.summary as one line."""
     return f"{name:<20} n={row.queries:<4} hit@1={row.hit_1:.3f} hit@k={row.hit_k:.3f} recall={row.recall:.3f} mrr={row.mrr:.3f} ndcg={row.ndcg:.3f}"

@@ -300,3 +300,28 @@ def test_gold_sets_and_trees_with_links(spark, tmp_path):
     (tmp_path / "t" / "c.md").write_bytes(b"x" * (512 * 1024))
     (tmp_path / "t" / "d.md").write_bytes(b"x" * (512 * 1024 + 1))
     assert sorted(r.file_path for r in files.load_tree(spark, f"file://{tmp_path}/t").collect()) == ["a.py", "c.md"]
+
+
+def test_made_vectors_scale_and_experiments(spark):
+    from tarnfold.operators import ann
+
+    a = {r.id: r.vector for r in ann.made_vectors(spark, 40, 8).collect()}
+    b = {r.id: r.vector for r in ann.made_vectors(spark, 60, 8).repartition(7).collect()}
+    assert all(a[i] == b[i] for i in a) and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in b.values()) and a[0] != a[1]
+    rows = reports.ann_scale(spark, (300, 600), 8, 5, 10, 1).collect()
+    assert [r.vectors for r in rows] == [300, 600] and all(r.recall >= 0.8 and r.bytes > 0 for r in rows)
+    args = __main__.parser().parse_args(["experiments", "/root/testdata/sf0.001", "--only", "strategy_comparison"])
+    import os
+
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert "## strategy_comparison" in __main__.run(Engine(spark, "file:///tmp/none"), args)
+
+
+def test_token_counts_by_a_function(spark):
+    from tarnfold.operators import chunking
+
+    rows = spark.createDataFrame([("a b c",), ("",)], "embed_text string")
+    assert [r.n_tokens for r in chunking.token_counts(rows, lambda texts: [len(t.split()) for t in texts]).collect()] == [3, 0]
+    hits = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 2, 1)], "qid long, id long, rank int")
+    counts = spark.createDataFrame([(1, 10), (2, 4)], "id long, n_tokens int")
+    assert {r.k: r.mean_tokens for r in chunking.context_cost(hits, counts, (1, 2)).collect()} == {1: 7.0, 2: 9.0}
