@@ -5,7 +5,7 @@ import ast
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarnfold.operators import ann, parsing, retrieval
+from tarnfold.operators import ann, blocks, parsing, retrieval
 from tarnfold.plans import registry
 
 
@@ -27,7 +27,7 @@ def test_exact_search_takes_more_queries_than_a_block(spark, monkeypatch):
     asked = base.where("id % 2 = 0").withColumnRenamed("id", "qid")
     found = lambda: {(r.qid, r.id, r.rank, round(r.score, 8)) for r in retrieval.exact_knn(base, asked, 3).collect()}
     want = found()
-    monkeypatch.setattr(retrieval, "MOST_QUERIES", 30)
+    monkeypatch.setattr(blocks, "MOST_QUERIES", 30)
     assert found() == want and len(want) == 300
 
 
