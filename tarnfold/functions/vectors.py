@@ -58,4 +58,4 @@ def hash_embed(docs: DataFrame, key: str, content: str, dim: int = 64) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(vectors, pa.list_(pa.float64()))], names=[key, "vector"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, content).mapInArrow(run, f"{key} {kind}, vector array<double>")
+    return session.spread(docs.select(key, content)).mapInArrow(run, f"{key} {kind}, vector array<double>")

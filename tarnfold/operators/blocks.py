@@ -84,7 +84,7 @@ def best_rows(base: DataFrame, queries: DataFrame, k: int, prepared: Callable[[l
     def of_block(rows: list) -> DataFrame:
         ready = prepared(rows)
         held = spark.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), ready))
-        needed = base.where(read(ready)) if read else base
+        needed = session.spread(base.where(read(ready)) if read else base)
 
         def run(batches):
             qids, own = held.value

@@ -111,7 +111,7 @@ def term_stats(docs: DataFrame) -> DataFrame:
                 found = {}
         yield packed(found | {"": total})
 
-    found = docs.select("text").mapInArrow(run, "term string, df long, times long, most long")
+    found = session.spread(docs.select("text")).mapInArrow(run, "term string, df long, times long, most long")
     return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("times").alias("times"), F.max("most").alias("most"))
 
 
@@ -216,7 +216,7 @@ def contained(docs: DataFrame, queries: DataFrame) -> DataFrame:
                     found += [(qid, row) for qid, query in (near + always if x is not None else near) if query in x]
                 yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.int64()), ids.take(pa.array([r for _, r in found], pa.int64()))], names=["qid", "id"])
 
-        part = docs.select("id", "text").mapInArrow(run, schema)
+        part = session.spread(docs.select("id", "text")).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 

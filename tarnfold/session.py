@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Arrow batches by size rather than by rows: a worker's memory must not depend on how long texts are.
@@ -27,3 +27,14 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(target))
     context._tarnfold_shipped = True
+
+
+#: Bytes that are enough for a task of its own.
+TASK_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is too small for its files to give each a task; a large one is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * TASK_BYTES else df
