@@ -2,7 +2,10 @@
 
 import io
 import random
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pyspark.sql import functions as F
@@ -73,6 +76,75 @@ def test_toxicity_learns_from_labels_with_long_documents(spark, monkeypatch):
     assert sum((r.score >= toxicity.CUT) == (r.doc_id % 4 == 0) for r in got) >= 228
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(toxicity, "PER_LABEL", 10)
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 400)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 150)
+    words, bad = [f"word{i}" for i in range(30)], [f"bad{i}" for i in range(25)]
+    # 25 words mark a toxic row, and rows over MOST_BYTES have five that no other row has: a start on 10 rows a label knows few of them
+    rows = []
+    for i in range(1200):
+        own = bad[:20] if i % 5 else bad[20:]
+        rows.append((i, " ".join(rng.choices(words, k=20 if i % 5 else 90) + ([rng.choice(own)] * 2 if i % 4 < 2 else [])), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 < 2).cast("int").alias("toxic"))
+    got = [{r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fit(d, labels, 20), ["doc_id"]).collect()} for d in (docs, docs.repartition(7))]
+    assert sum((s >= toxicity.CUT) == (i % 4 < 2) for i, s in got[0].items()) >= 1140
+    # tasks and their order do not matter
+    assert got[0] == pytest.approx(got[1], abs=1e-6)
+    stored = toxicity.labelled(docs, labels)
+    assert stored.count() == len(rows) and stored.select("part").distinct().count() == 8
+    found = set(toxicity.vocabulary(stored).tolist())
+    texts = [t.encode() for _, t, _ in rows]
+    seen = Counter(b for x in toxicity.buckets(texts) for b in set(x.tolist()))
+    assert found == {b for b, n in seen.items() if n >= toxicity.LEAST_TEXTS}
+    number = toxicity.Net.of(toxicity.vocabulary(stored)).rows
+    each = Counter(r for x in toxicity.buckets(texts, number) for r in toxicity.lang_rows(x).tolist())
+    assert {i: int(n) for i, n in enumerate(toxicity.language_words(stored, number)["en"]) if n} == dict(each)
+
+
+def test_toxicity_passes_are_means_over_parts_and_rows_are_tallied(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices(["house", "water", "stone", "road", "bad"], k=12)), "en") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "PART_ROWS", 30)
+        stored = toxicity.labelled(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    net, plain = (toxicity.Net.of(toxicity.vocabulary(stored)) for _ in range(2))
+    toxicity.passed(stored, net, 1, (0.75, 1.5), 2)
+    parts = {}
+    for r in sorted(stored.where("fold != 1").collect(), key=lambda r: (r.part, r.key)):
+        parts.setdefault(r.part, []).append(r)
+    copies = []
+    for part, own in parts.items():
+        copies.append(plain.copy())
+        drop = np.random.default_rng((2, part))
+        for r in own:
+            copies[-1].learn(toxicity.dropped(toxicity.padded(plain.rows[np.frombuffer(r.ids, np.int32)]), drop), r.toxic, (0.75, 1.5)[r.toxic])
+    assert len(parts) == 3 and net.state() == pytest.approx(np.mean([c.state() for c in copies], 0), abs=1e-4)
+    for i in range(len(net.emb)):
+        changed = [c.emb[i] for c in copies if (c.emb[i] != plain.emb[i]).any()]
+        assert net.emb[i] == pytest.approx(np.mean(changed, 0) if changed else plain.emb[i], abs=1e-4)
+    net.learn_languages({"en": np.ones(toxicity.LANG_ROWS)})
+    tally = toxicity.tallied(stored, net)
+    n0, n1 = (sum(tally.column(c).to_pylist()) for c in ("n0", "n1"))
+    assert (n0, n1) == (60, 30)
+    z = net.logits([toxicity.padded(net.rows[np.frombuffer(r.ids, np.int32)]) for r in stored.collect()])
+    want = Counter(np.rint(z * toxicity.STEPS).astype(int).tolist())
+    got = {k: a + b for k, a, b in zip(*(tally.column(c).to_pylist() for c in ("z", "n0", "n1")), strict=True)}
+    assert sum(abs(k) * n for k, n in got.items()) == pytest.approx(sum(abs(k) * n for k, n in want.items()), abs=90)
+
+
+def test_toxicity_forward_in_pieces(monkeypatch):
+    net = toxicity.Net.of(np.arange(50))
+    ids = toxicity.padded(np.random.default_rng(1).integers(0, 51, 100).astype(np.int32))
+    whole = net.forward(ids)
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 7)
+    parts = net.forward(ids)
+    assert parts[1] == pytest.approx(whole[1], abs=1e-6) and all((a == b).all() for a, b in zip(parts[2], whole[2], strict=True))
+
+
 def test_near_duplicates_by_row(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
     rows = [(1, a), (None, a + " end"), (None, b), (None, b), (None, b + " end"), (5, a + " more"), (5, c), (7, c), (7, c)]
