@@ -40,7 +40,7 @@ from . import common
 
 CHUNKS_KEPT, PAIRS_KEPT, STEPS_KEPT = 80_000, 120_000, 120_000
 #: Texts encoded together.
-TEXTS = 1000
+TEXTS = 200
 END = "</w>"
 NAME = "word_bpe_49k.json"
 NEVER = 1 << 60
@@ -265,15 +265,13 @@ class Trie:
         return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_tries: dict[str, Trie] = {}
-
-
 def trie(path: str) -> Trie:
-    """One for each worker and file."""
-    found = _tries.get(path)
-    if found is None:
-        found = _tries[path] = Trie(path)
-    return found
+    """One for each worker and file, until the worker runs another operator."""
+    tries = common.kept_for("bpe")
+    if path not in tries:
+        tries[path] = Trie(path)
+        common.released()  # building takes more than is kept
+    return tries[path]
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], full: bool = False) -> DataFrame:
@@ -296,7 +294,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], full: bool = False) -> D
                 columns.append(pa.array([np.frombuffer(raw, "<u4").astype("i4") for raw in raws], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in range(part.num_columns - 1)] + columns, names=schema.names)
 
-    return docs.select(*keep, F.col("text")).toDF(*(f"c{i}" for i in range(len(keep) + 1))).mapInArrow(coded, schema)
+    return docs.select(*keep, F.col("text")).toDF(*(f"c{i}" for i in range(len(keep) + 1))).mapInArrow(common.lean(coded), schema)
 
 
 def vocabulary() -> str:

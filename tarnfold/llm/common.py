@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +98,42 @@ def slices(batches, rows: int = 500):
             waiting += [part.slice(at, step) for at in reversed(range(0, part.num_rows, step))]
 
 
+_kept: dict = {}
+_keeper = ""
+
+
+def released() -> None:
+    """Gives freed memory back: workers of one executor share its limit, and stay after their task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def kept_for(operator: str) -> dict:
+    """What this process keeps between tasks of an operator; what it kept for another one goes.
+
+    Spark uses a worker for one stage after the other, so that else it holds the tables of all that it has run.
+    """
+    global _keeper
+    if operator != _keeper:
+        _keeper = operator
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            released()
+    return _kept
+
+
+def lean(run):
+    """run over Arrow batches, after which the worker gives back what it freed."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        released()
+
+    return wrapped
+
+
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -112,6 +112,7 @@ class Parts:
 
 def sets_of(batches, words: int):
     """Arrow batches (doc_id, text) -> (doc_id, hashes, number of words) of each row."""
+    common.kept_for("sets")
     for batch in common.slices(batches):
         ids = batch.column(0).to_pylist()
         at = 0
@@ -143,7 +144,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
             ids, n, sig = zip(*pack, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, n long, sig binary")
 
 
 def tokens_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -158,7 +159,7 @@ def tokens_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(tokens).view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(needs, pa.int32()), pa.array(sizes, pa.int32()), lists], names=["doc", "kind", "need", "n", "tokens"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc long, kind int, need int, n int, tokens array<long>")
+    found = docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc long, kind int, need int, n int, tokens array<long>")
     return found.select(F.explode("tokens").alias("token"), "doc", "kind", "need", "n")
 
 
@@ -177,11 +178,12 @@ def placed_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), part.column(2)], names=["doc", "shingles", "spots"])
 
     schema = f"doc long, shingles binary, spots {spots.schema['spots'].dataType.simpleString()}"
-    return texts.mapInArrow(run, schema).select("doc", "shingles", F.inline("spots"))
+    return texts.mapInArrow(common.lean(run), schema).select("doc", "shingles", F.inline("spots"))
 
 
 def _loaded(table: pa.Table):
     """Documents of a room: ids, sizes, shingles renumbered from 0, where each document's begin."""
+    common.kept_for("sets")
     ids = table.column("doc").to_numpy()
     sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
     sizes = np.array([len(s) for s in sets], np.int64)

@@ -226,6 +226,7 @@ def scored_by(rows: DataFrame, held: Broadcast, last: bool) -> DataFrame:
     state = pa.struct([("lang", pa.string()), ("bits", pa.float64()), ("mass", pa.float64())])
 
     def scored(batches):
+        common.kept_for("ppm")
         m = held.value
         for batch in common.slices(batches):
             texts = batch.column(0).field(at).to_pylist()
@@ -252,7 +253,7 @@ def scored_by(rows: DataFrame, held: Broadcast, last: bool) -> DataFrame:
                 columns = [batch.column(0), pa.array(best, state)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(scored, schema)
+    return rows.mapInArrow(common.lean(scored), schema)
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
