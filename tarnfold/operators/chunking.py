@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,53 +14,72 @@ from ..functions import text as X
 from . import evaluation, parsing
 
 WANTED = {"file": ("module",), "class": ("class", "function", "section"), "function": ("function", "method", "section")}
+COLUMNS = "strategy string, symbol_type string, symbol_name string, class_name string, start_line int, end_line int, docstring string, text string"
+CONTEXT = "imports array<string>, class_line string, class_docstring string, siblings array<string>"
+#: What is not white space by Unicode.
+INK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-COLUMNS = ("strategy", "symbol_type", "symbol_name", "class_name", "start_line", "end_line", "docstring", "text")
+def window_parts(lines: list[str], size: int, overlap: int) -> Iterator[tuple]:
+    """Windows of `size` lines; blank ones are left out, the last one reaches the end."""
+    step, n = size - overlap, len(lines)
+    for start in range(0, max(0, -(-(n - size) // step) * step) + 1 if n else 0, step):
+        text = "\n".join(lines[start : start + size])
+        if INK.search(text):
+            yield "fixed", "window", f"L{start + 1}", "", start + 1, min(start + size, n), "", text
 
 
-def part(lines: Column, strategy: str, kind, name, owner, start: Column, end: Column, doc) -> Column:
-    """One chunk as a struct of COLUMNS; its text are the lines from start to end."""
-    text = F.array_join(F.slice(lines, start, end - start + 1), "\n")
-    return F.struct(*(x.alias(n) for n, x in zip(COLUMNS, (F.lit(strategy), kind, name, owner, start, end, doc, text), strict=True)))
+def symbol_parts(symbols: list[dict], strategy: str) -> list[dict]:
+    """The symbols that a strategy makes chunks of; a file without any gives its module.
 
+    Under `function` a class counts if no method of the file names it.
+    """
+    owners = {s["class_name"] for s in symbols if s["symbol_type"] == "method"}
+    own = lambda s: strategy == "function" and s["symbol_type"] == "class" and s["symbol_name"] not in owners
+    return [s for s in symbols if s["symbol_type"] in WANTED[strategy] or own(s)] or symbols[:1]
 
-def window_parts(lines: Column, size: int, overlap: int) -> Column:
-    """Windows of `size` lines as an array; blank ones are left out, the last one reaches the end."""
-    step, n = size - overlap, F.size(lines)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step) * step).cast("int")
-    nothing = F.lit("")
 
-    def window(start: Column) -> Column:
-        name = F.concat(F.lit("L"), start + 1)
-        return part(lines, "fixed", F.lit("window"), name, nothing, start + 1, F.least(start + size, n), nothing)
+def context_of(symbols: list[dict], lines: list[str], most_imports: int, most_siblings: int) -> Callable[[dict], tuple]:
+    """For a symbol of the file the values of CONTEXT: the first imports; if a class owns it, that one's first line and docstring and its other methods."""
+    imports, classes, methods = symbols[0]["imports"][:most_imports], {}, {}
+    for s in symbols:
+        if s["symbol_type"] == "class":
+            classes.setdefault(s["symbol_name"], s)
+        if s["symbol_type"] == "method":
+            methods.setdefault(s["class_name"], []).append(s["symbol_name"])
 
-    starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, window), lambda w: w["text"].rlike(r"(?U)\S"))
+    def found(s: dict) -> tuple:
+        owner = classes.get(s["class_name"])
+        if owner is None or owner["start_line"] > len(lines):
+            return imports, None, None, None
+        others = (x for x in methods[s["class_name"]] if x != s["symbol_name"]) if s["class_name"] in methods else None
+        return imports, lines[owner["start_line"] - 1], owner["docstring"], others and list(islice(others, most_siblings))
 
+    return found
 
-def symbol_parts(lines: Column, symbols: Column, strategy: str) -> Column:
-    """The symbols that a strategy makes chunks of, as an array; a file without any gives its module.
-
-    Under `function` a class counts if no method of the file names it.
-    """
-    wanted = lambda s: s["symbol_type"].isin(*WANTED[strategy])
-    if strategy == "function":
-        owners = F.transform(F.filter(symbols, lambda s: s["symbol_type"] == "method"), lambda s: s["class_name"])
-        wanted = lambda s: s["symbol_type"].isin(*WANTED[strategy]) | ((s["symbol_type"] == "class") & ~F.array_contains(owners, s["symbol_name"]))
-    kept = X.let(F.filter(symbols, wanted), lambda k: F.when(F.size(k) > 0, k).otherwise(F.filter(symbols, lambda s: s["symbol_type"] == "module")))
-    return F.transform(kept, lambda s: part(lines, strategy, s["symbol_type"], s["symbol_name"], s["class_name"], s["start_line"], s["end_line"], s["docstring"]))
 
+def chunks(files: DataFrame, strategies: tuple[str, ...] = ("function",), size: int = 60, overlap: int = 10, context: tuple[int, int] | None = None) -> DataFrame:
+    """files (file_path, language, content) -> chunks of each strategy, from one parse and without a shuffle.
 
-def chunks(files: DataFrame, strategies: tuple[str, ...] = ("function",), size: int = 60, overlap: int = 10) -> DataFrame:
-    """files (file_path, language, content) -> chunks of each strategy, from one parse and without a shuffle."""
+    With `context`, the most imports and the most other methods, the columns of CONTEXT are there too.
+    """
     if unknown := set(strategies) - {*WANTED, "fixed"}:
         raise ValueError(f"unknown strategies {sorted(unknown)}")
-    parsed = parsing.with_symbols(files) if set(strategies) & set(WANTED) else files
-    cut = parsed.withColumn("_lines", X.lines_of(F.col("content")))
-    parts = [window_parts(F.col("_lines"), size, overlap) if s == "fixed" else symbol_parts(F.col("_lines"), F.col("symbols"), s) for s in strategies]
-    found = cut.select("file_path", "language", F.explode(F.concat(*parts)).alias("c"))
-    return found.select("file_path", "language", *(f"c.{n}" for n in COLUMNS))
+    parsed = set(strategies) & set(WANTED)
+
+    def rows_of(path, language, content, lines):
+        symbols = parsing.symbols_of(path, language, content, lines) if parsed else []
+        around = context_of(symbols, lines, *context) if context and parsed else lambda s: (None,) * 4
+        for strategy in strategies:
+            if strategy == "fixed":
+                yield from (x + around({"class_name": "", "symbol_name": ""}) if context else x for x in window_parts(lines, size, overlap))
+                continue
+            for s in symbol_parts(symbols, strategy):
+                text = "\n".join(lines[s["start_line"] - 1 : s["end_line"]]) if content is not None else None
+                own = strategy, s["symbol_type"], s["symbol_name"], s["class_name"], s["start_line"], s["end_line"], s["docstring"], text
+                yield own + around(s) if context else own
+
+    return parsing.in_files(files, f"{COLUMNS}, {CONTEXT}" if context else COLUMNS, rows_of)
 
 
 def windows(files: DataFrame, size: int, overlap: int) -> DataFrame:
