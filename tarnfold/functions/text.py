@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,27 @@ def token_estimate(text: Column) -> Column:
     return F.aggregate(runs, F.lit(0), lambda n, w: n + F.shiftright(F.length(w) + 3, 2))
 
 
+#: What a byte of UTF-8 is to a token: 1 letter, 2 digit, 3 the first byte of any other character, 0 white space or a later byte.
+TOKEN_BYTES = np.array([0 if 0x80 <= b < 0xC0 or chr(b) in " \t\n\x0b\f\r" else 3 if b > 0x7F or not chr(b).isalnum() else 2 if chr(b).isdigit() else 1 for b in range(256)], np.uint8)
+
+
+def token_estimates(texts: pa.Array) -> pa.Array:
+    """token_estimate of each text, for whole batches in a worker: runs are found among the bytes, a few numbers a byte and no regex."""
+    wide = texts.cast(pa.large_string())
+    _, edges, data = wide.buffers()
+    at = np.frombuffer(edges, np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    kind = TOKEN_BYTES[np.frombuffer(data, np.uint8)[at[0] : at[-1]]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    begins = np.ones(len(kind), bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    begins[at[at < len(kind)]] = True
+    starts = np.flatnonzero(begins)
+    size, what = np.diff(np.append(starts, len(kind))), kind[starts]
+    upto = np.concatenate(([0], np.cumsum(np.where(what == 3, size, np.where(what > 0, (size + 3) >> 2, 0)))))
+    found = np.diff(upto[np.searchsorted(starts, at)])
+    return pa.array(found.astype(np.int32), mask=np.asarray(wide.is_null()))
+
+
 def lines_of(content: Column) -> Column:
     """Universal line ends; no empty last line."""
     cut = F.split(content, LINE_END, -1)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import text as X
 from . import evaluation, parsing
 
@@ -134,7 +135,8 @@ def token_stats(counts: DataFrame, by: str, most: int = 256) -> DataFrame:
 def token_counts(chunks: DataFrame, encode=None) -> DataFrame:
     """chunks (embed_text, ...) with n_tokens: by `encode`, a function of a list of texts to a list of counts, or by estimate."""
     if encode is None:
-        return chunks.withColumn("n_tokens", X.token_estimate(F.col("embed_text")))
+        session.ship(chunks.sparkSession)
+        return chunks.withColumn("n_tokens", F.arrow_udf(X.token_estimates, "int")("embed_text"))
     count = F.pandas_udf(lambda texts: pd.Series(encode(texts.tolist())), "int")
     return chunks.withColumn("n_tokens", count("embed_text"))
 
