@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import session, storage
 from ..functions import vectors
-from .blocks import CELLS, best_rows, matrix_of, ranked
+from .blocks import CELLS, best_rows, fetched, matrix_of, ranked
 
 #: Centroids are fitted on a sample of at most so many vectors; all vectors are indexed.
 SAMPLE = 20_000
@@ -72,13 +72,13 @@ class Ivf:
         self.spark, self.folder, self.centers, self.sample = spark, folder, centers, sample
 
     @classmethod
-    def build(cls, base: DataFrame, lists: int | None = None, folder: str | None = None) -> Ivf:
-        """base (id, vector). Centroids are fitted on a sample; every vector is indexed. One shuffle, by list and part of it."""
+    def build(cls, base: DataFrame, lists: int | None = None, folder: str | None = None, sample: np.ndarray | None = None) -> Ivf:
+        """base (id, vector). Centroids are fitted on a sample (drawn unless given); every vector is indexed. One shuffle, by list and part of it."""
         spark = base.sparkSession
         session.ship(spark)
         base = base.select("id", "vector").where("vector is not null")
         rows = base.count()
-        v = sampled(base)
+        v = sampled(base) if sample is None else sample
         c = centroids(v, lists or lists_for(rows))
         folder = folder or storage.new_path(spark, "ivf")
         held = spark.sparkContext.broadcast(c)
@@ -102,8 +102,8 @@ class Ivf:
         asked = queries.select("vector").where("vector is not null").orderBy(F.xxhash64("qid")).limit(MEASURED).collect()
         return probes_for(self.sample, self.centers, np.array([r[0] for r in asked], np.float64), k) if asked and len(self.sample) else len(self.centers)
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """queries (qid, vector) -> (qid, id, score, rank): each looks into the lists of its nearest centroids only."""
+    def search(self, queries: DataFrame | list, k: int, probes: int | None = None) -> DataFrame:
+        """queries (qid, vector), or with `probes` their rows -> (qid, id, score, rank): each looks into the lists of its nearest centroids only."""
         probes = probes or self.probes(queries, k)
         c = self.centers
 
@@ -124,7 +124,7 @@ class Ivf:
         if not len(c):
             return self.spark.createDataFrame([], "qid long, id long, score double, rank int")
         every = self.spark.read.parquet(self.folder).select("id", "vector", F.col("list").cast("int").alias("list"))
-        asked = queries.select("qid", "vector").where("vector is not null")
+        asked = queries if isinstance(queries, list) else queries.select("qid", "vector").where("vector is not null")
         return best_rows(every, asked, k, prepared, scored, lambda held: F.col("list").isin([i for i, x in enumerate(held[1]) if len(x)]))
 
 
@@ -185,11 +185,12 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
 
 def sweep(base: DataFrame, queries: DataFrame, exact: DataFrame, k: int, lists: tuple[int, ...], shares: tuple[float, ...]) -> DataFrame:
     """(lists, probes, queries, hits, recall) for indexes of several sizes, each looked into by several shares of its lists."""
-    out = []
+    # the driver gets the sample and the queries once, not once an index and once a search
+    out, sample, asked = [], sampled(base), fetched(queries.select("qid", "vector").where("vector is not null"))
     for n in lists:
-        index = Ivf.build(base, n)
+        index = Ivf.build(base, n, sample=sample)
         for probes in sorted({max(1, round(share * len(index.centers))) for share in shares}):
-            found = recall(index.search(queries, k, probes), exact, k)
+            found = recall(index.search(asked, k, probes), exact, k)
             out.append(found.select(F.lit(n).alias("lists"), F.lit(probes).alias("probes"), "*"))
     return reduce(DataFrame.unionByName, out)
 

@@ -67,7 +67,13 @@ def in_blocks(rows, most: int) -> Iterator[list]:
         yield block
 
 
-def best_rows(base: DataFrame, queries: DataFrame, k: int, prepared: Callable[[list], object], scored: Callable, read: Callable | None = None) -> DataFrame:
+def fetched(queries: DataFrame) -> DataFrame | list:
+    """The rows of a query set that fits into one block, for searches that ask it again and again; a larger set as it is."""
+    rows = queries.limit(MOST_QUERIES + 1).collect()
+    return rows if len(rows) <= MOST_QUERIES else queries
+
+
+def best_rows(base: DataFrame, queries: DataFrame | list, k: int, prepared: Callable[[list], object], scored: Callable, read: Callable | None = None) -> DataFrame:
     """base (id, ...), queries (qid, ...) -> (qid, id, score, rank).
 
     prepared(block of query rows) is broadcast; scored(prepared, batch) yields (first query, columns of the batch, scores);
@@ -77,9 +83,9 @@ def best_rows(base: DataFrame, queries: DataFrame, k: int, prepared: Callable[[l
     session.ship(spark)
     kind = base.schema["id"].dataType.simpleString()
     schema = f"qid long, id {kind}, score double"
-    first = queries.limit(MOST_QUERIES + 1).collect()
+    first = queries if isinstance(queries, list) else fetched(queries)
     # a large set is fetched partition by partition, so the driver holds one of them and one block
-    blocks = in_blocks(queries.toLocalIterator(), MOST_QUERIES) if len(first) > MOST_QUERIES else [first] if first else []
+    blocks = in_blocks(first.toLocalIterator(), MOST_QUERIES) if isinstance(first, DataFrame) else [first] if first else []
 
     def of_block(rows: list) -> DataFrame:
         ready = prepared(rows)
