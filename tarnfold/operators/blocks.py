@@ -18,7 +18,7 @@ from .. import session
 #: Queries that are collected and broadcast at once; a larger set goes through the rows in several blocks.
 MOST_QUERIES = 50_000
 #: Scores that a worker holds at once.
-CELLS = 4_000_000
+CELLS = 1_000_000
 
 
 class Best:
