@@ -17,8 +17,8 @@ from ..functions import text
 from . import blocks
 from .blocks import CELLS, TermBlock, best_rows, in_blocks, matrix_of, ranked
 
-#: Names, runs of letters and digits, and their answers that a worker keeps.
-NAMES_KEPT = 200_000
+#: Names, runs of letters and digits, and their answers that a worker keeps; terms that it counts before it passes them on.
+NAMES_KEPT, TERMS_KEPT = 100_000, 100_000
 IDENTIFIER, PART, RUN = re.compile(text.IDENTIFIER), re.compile(text.IDENTIFIER_PART), re.compile("[a-z0-9]+")
 
 
@@ -52,6 +52,8 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, match: str | None = N
 
 def names_of(name: str) -> list[str]:
     """The lexical tokens of one identifier or number: its parts, and the joined form if there are several."""
+    if name.isalpha() and (name.islower() or name.isupper() or name[1:].islower()):  # most names are one part
+        return [name.lower()]
     parts = [x.lower() for x in PART.findall(name)]
     return [*parts, "".join(parts)] if len(parts) > 1 else parts
 
@@ -106,7 +108,7 @@ def term_stats(docs: DataFrame) -> DataFrame:
                         own[2] = max(own[2], n)
                 total[0] += 1
                 total[1] += sum(tf.values())
-            if len(found) >= NAMES_KEPT:
+            if len(found) >= TERMS_KEPT:
                 yield packed(found)
                 found = {}
         yield packed(found | {"": total})
